@@ -273,7 +273,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest (rows without an id stay). Of rows with one id, the first text stays."""
-    found = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"))
-    rest = docs.join(found.distinct(), F.col("doc_id") == F.col("drop_id"), "left_anti")
-    return rest
+    """``docs`` with one document of each component: the row with its smallest doc_id; of several rows with that id any one.
+
+    Rows without an id stay.
+    """
+    found = materialize(near_duplicates(docs, **options).select("doc_id", "component_id"), "simhash_found")
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    rest = docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti")
+    twice = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id")), "simhash_twice")
+    if not twice.limit(1).count():
+        return rest
+    same = rest["doc_id"] == twice["twice_id"]
+    return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
