@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables, and the SQL they are checked against."""
+"""Named queries, and the SQL they are checked against."""
 
 from __future__ import annotations
 
@@ -6,5 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None) -> Callable[[Query], Query]:
+    """Register a query under its function's name; ``oracle`` is its SQL, None where SQL can't see its result."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
