@@ -132,5 +132,5 @@ def token_prefix(text: Column, n: int = 12) -> Column:
 
 def integers_in(text: Column) -> Column:
     """The lines of a command's output that are numbers, as longs."""
-    lines = F.transform(F.split(text, r"\r?\n"), F.trim)
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
     return F.transform(F.filter(lines, lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("long"))

@@ -15,7 +15,7 @@ from plumbline.operators.store import ShardStore
 
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Count and mean value of each type in sliding event-time windows, closed by a watermark."""
-    w = F.window(F.col("ts").cast("timestamp"), width, slide)
+    w = F.window("ts", width, slide)
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "mean_value")
 
 
