@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, ship, utf8
+from plumbline.llm.common import ship, utf8
 
 WINDOW, BLOCK_BYTES = 10, 32 << 20
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -87,20 +87,22 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, hit spans (word numbers) and item ids (as strings) of each row of ``docs`` (doc_id, text).
+_SPANS, _ITEMS, _COUNT, _WHOLE = "__pl_spans", "__pl_items", "__pl_n_words", "__pl_whole"
+_SPAN_KIND = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    ``benchmark``: (item_id, text). Defined results: null or wordless texts have no words, windows or hits; a null item id
-    counts as the empty string; items that share a window are all named; items with equal ids are one.
-    """
+
+def scan_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, cut: float | None = None) -> DataFrame:
+    """``docs`` with the columns of finds added, one narrow pass a benchmark block; in the last pass, with ``cut``, hit words leave the text."""
     spark = docs.sparkSession
     ship(spark)
     size = benchmark.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")).first()["b"] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    out = docs.select("doc_id", "text", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    schema = out.schema
     part = F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.col("text")), F.lit(blocks))
+    added = {_SPANS: F.lit(None).cast("array<struct<a:int,b:int>>"), _ITEMS: F.lit(None).cast("array<string>"), _COUNT: F.lit(0).cast("long"), _WHOLE: F.lit(False)}
+    out = docs.withColumns(added)
+    schema = out.schema
+    for f in schema.fields:
+        f.nullable = True
     for k in range(blocks):
         rows = benchmark.where(part == k).select("item_id", "text").collect()
         known = spark.sparkContext.broadcast(WindowSet([(r["item_id"], r["text"]) for r in rows], window))
@@ -108,20 +110,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         def scan(batches, known=known, last=k == blocks - 1):
             windows = known.value
             for b in batches:
-                spans, items, counts = [], [], []
-                for t, s, i in zip(utf8(b.column(1)), b.column(2), b.column(3)):
+                names = b.schema.names
+                cols = {n: b.column(i) for i, n in enumerate(names)}
+                texts, spans, items, counts, whole = utf8(cols["text"]), [], [], [], []
+                for t, s, i in zip(texts, cols[_SPANS], cols[_ITEMS]):
                     words = words_of(t)
                     got, owners = windows.find(words)
                     if s.is_valid:
                         got = got + [(x["a"], x["b"]) for x in s.as_py()]
-                    spans.append([{"a": x, "b": y} for x, y in merge(got)])
+                    spans.append(merge(got))
                     items.append(sorted({windows.names[o] for o in owners} | set(i.as_py() or [])))
                     counts.append(len(words))
-                text = pa.nulls(b.num_rows, b.schema.field(1).type) if last else b.column(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(spans, kinds), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=["doc_id", "text", "spans", "items", "n_words"])
+                    whole.append(cut is not None and bool(got) and sum(y - x for x, y in spans[-1]) >= cut * len(words))
+                if cut is not None and last and any(spans):
+                    texts = [remove_spans(t, s) for t, s in zip(texts, spans)]
+                    cols["text"] = pa.array(texts, pa.binary()).cast(cols["text"].type)
+                cols[_SPANS] = pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], _SPAN_KIND)
+                cols[_ITEMS] = pa.array(items, pa.list_(pa.string()))
+                cols[_COUNT], cols[_WHOLE] = pa.array(counts, pa.int64()), pa.array(whole, pa.bool_())
+                yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
         out = out.mapInArrow(scan, schema)
-    return out.drop("text")
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, hit spans (word numbers) and item ids (as strings) of each row of ``docs`` (doc_id, text).
+
+    ``benchmark``: (item_id, text). Defined results: null or wordless texts have no words, windows or hits; a null item id
+    counts as the empty string; items that share a window are all named; items with equal ids are one.
+    """
+    found = scan_blocks(docs.select("doc_id", "text"), benchmark, window, block_bytes)
+    return found.select("doc_id", F.col(_SPANS).alias("spans"), F.col(_ITEMS).alias("items"), F.col(_COUNT).alias("n_words"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -129,11 +149,10 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """The text without the words of ``spans`` and what stands between them."""
-    if text is None or not spans:
-        return text
-    raw = text.encode()
+def remove_spans(raw: bytes | None, spans: list[tuple[int, int]]) -> bytes | None:
+    """The text (UTF-8) without the words of ``spans`` and what stands between them."""
+    if raw is None or not spans:
+        return raw
     mapped, at, bounds = raw.translate(_KEEP), 0, []
     for w in mapped.split():
         at = mapped.index(w, at)
@@ -143,31 +162,18 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     for a, b in spans:
         out.append(raw[last : bounds[a][0]])
         last = bounds[b - 1][1]
-    return b"".join([*out, raw[last:]]).decode()
+    return b"".join([*out, raw[last:]])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without benchmark passages: hit words go; documents of which ``drop_share`` or more of the words are hit go whole.
 
-    The scan's finds are few; they are written, and documents without a find pass through untouched.
+    A narrow pass: rows are not matched by id, so null and repeated ids make no difference. n_chars, where there is one, follows the text.
     """
-    spark = docs.sparkSession
-    found = find_leaks(docs, benchmark, window, block_bytes).where(F.size("spans") > 0)
-    found = materialize(found.groupBy("doc_id").agg(F.max(F.struct("n_words", "spans")).alias("f")).select(F.col("doc_id").alias("leak_id"), "f.n_words", "f.spans"), "leaks")
-    hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"])
-    found = found.withColumn("whole", hit >= drop_share * F.col("n_words"))
-    ship(spark)
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        return text.combine(spans, lambda t, s: remove_spans(t, [(x["a"], x["b"]) for x in s]))
-
-    same = docs["doc_id"] == found["leak_id"]
-    intact = docs.join(found, same, "left_anti")
-    cleaned = docs.join(found.where(~F.col("whole")), same).withColumn("text", cut(F.col("text"), F.col("spans")))
+    out = scan_blocks(docs, benchmark, window, block_bytes, cut=drop_share).where(~F.col(_WHOLE))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return intact.unionByName(cleaned.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(F.size(_SPANS) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(_SPANS, _ITEMS, _COUNT, _WHOLE)
 
 
 ORACLE = """

@@ -70,15 +70,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, buc
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows: each document as often as the mix takes it, a partly taken one if at least half of it is taken."""
+    """The mix as rows: each document as often as the mix takes it, a partly taken one if at least half of it is taken.
+
+    Rows find their counts by id, source and size; of rows that agree in these all get the largest count.
+    """
     plan = mix(docs, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    # Ids may repeat, so an id's counts are dealt among its rows by size and source, which rows of one id and text share.
-    plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), copies.alias("m_copies"))
-    plan = plan.groupBy("m_id", "m_source", "m_size").agg(F.max("m_copies").alias("m_copies"))
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (size == F.col("m_size")) & (F.col("m_copies") > 0))
-    return rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*[docs[c] for c in docs.columns])
+    plan = plan.select(F.col("doc_id").alias("__pl_id"), F.col("source").alias("__pl_source"), F.col("size").alias("__pl_size"), copies.alias("__pl_copies")).where("__pl_copies > 0")
+    plan = plan.groupBy("__pl_id", "__pl_source", "__pl_size").agg(F.max("__pl_copies").alias("__pl_copies"))
+    size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__pl_id"]) & docs["source"].eqNullSafe(plan["__pl_source"]) & (size == plan["__pl_size"]))
+    return rows.withColumn("__pl_copy", F.explode(F.sequence(F.lit(1), F.col("__pl_copies")))).drop("__pl_id", "__pl_source", "__pl_size", "__pl_copies", "__pl_copy")
 
 
 ORACLE = """

@@ -169,18 +169,55 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     """
     measured = materialize(measures(docs, stratum), "quality")
     cutoffs = calibrate(measured, labels, alpha, delta)
+    out = measured.withColumns({"base_failed": base_failed(), "rejected_by": verdict(cutoffs, F.col("stratum"))})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+
+
+def verdict(cutoffs: list[tuple[str | None, str, int, float]], stratum: Column) -> Column:
+    """Array of the rules that reject a row."""
     failed = []
     for rule, value in rules().items():
         over = F.lit(False)
         for s, r, cutoff, _ in cutoffs:
             if r == rule:
-                over = over | (F.col("stratum").eqNullSafe(F.lit(s)) & (value > cutoff))
+                over = over | (stratum.eqNullSafe(F.lit(s)) & (value > cutoff))
         failed.append(F.when(over, F.lit(rule)))
-    out = measured.withColumns({"base_failed": base_failed(), "rejected_by": F.array_compact(F.array(*failed))})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    return F.array_compact(F.array(*failed))
+
+
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that are kept, whatever their ids and other columns: each row is judged by itself, and nothing is joined back."""
+    cutoffs = calibrate(materialize(measures(docs, stratum), "quality"), labels, alpha, delta)
+    by_stratum: dict[str | None, dict[str, int]] = {}
+    for s, rule, cutoff, _ in cutoffs:
+        by_stratum.setdefault(s, {})[rule] = cutoff
 
+    @F.pandas_udf("boolean")
+    def good(text, lang):
+        import pandas as pd
 
-def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept. Rows are matched by id; rows with one id stay or go together: any rejected row takes them along."""
-    bad = judge(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+        return pd.Series([passes(t, by_stratum.get(s, {})) for t, s in zip(text, lang)], dtype=bool)
+
+    return docs.where(good(F.col("text"), F.col(stratum).cast("string")))
+
+
+def passes(text: str | None, cutoffs: dict[str, int]) -> bool:
+    """The verdict on one text, as ``judge`` gives it."""
+    c = dict(zip(COUNTS, measure(text)))
+    n = c["n_words"]
+    if n < 50 or 100 * c["n_repeat_words"] > 50 * n:
+        return False
+
+    def share(x: int, of: int) -> int:
+        return min(math.ceil(BINS * x / max(of, 1)), BINS)
+
+    bins = {
+        "symbols": share(c["n_symbols"], n),
+        "dup_lines": share(c["n_dup_lines"], c["n_lines"]),
+        "repeats": share(c["n_repeat_words"], n),
+        "capitals": share(c["n_upper"], n),
+        "exclaims": share(c["n_bang"], n),
+        "one_word": share(c["n_common"], n),
+        "long_words": min(4 * c["word_chars"] // n, BINS),
+    }
+    return all(bins[rule] <= cutoff for rule, cutoff in cutoffs.items())

@@ -278,10 +278,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without an id stay.
     """
     found = materialize(near_duplicates(docs, **options).select("doc_id", "component_id"), "simhash_found")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
-    rest = docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti")
-    twice = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id")), "simhash_twice")
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__pl_drop_id")).distinct()
+    rest = docs.join(drop, docs["doc_id"] == drop["__pl_drop_id"], "left_anti")
+    twice = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__pl_twice_id")), "simhash_twice")
     if not twice.limit(1).count():
         return rest
-    same = rest["doc_id"] == twice["twice_id"]
+    same = rest["doc_id"] == twice["__pl_twice_id"]
     return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
