@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs are risk-controlled on labelled documents.
 
-Every rule rejects where a measure exceeds a cutoff. For each stratum (language), rule and cutoff of a fixed grid, a one-sided
-Clopper-Pearson bound limits the share of good documents that the cutoff rejects. With ``tests`` = strata x rules x cutoffs,
-each bound holds at level ``delta / tests`` (Bonferroni), so all hold together with probability 1 - ``delta``, whichever of the
-admissible cutoffs is then chosen. A rule's share is ``alpha`` / rules, so that all rules of a stratum together reject at most
-``alpha`` of its good documents. A stratum with too few labelled documents gets no cutoff: it keeps what passes the base rules.
-Of the admissible cutoffs the one is taken that rejects the most bad documents less ``penalty`` times the good ones, and of equals the loosest.
-
-Measures are taken once from whole texts; the labelled counts are per (stratum, rule, bin): a table of fixed width a stratum.
+Every rule rejects where a measure exceeds a cutoff. Labelled documents are parted by the hash of their id. The design third
+proposes, for each stratum (language), the rules that find bad documents there and a nested family of cutoffs: at step L a rule
+may reject at most the share L of the good design documents. The holdout tests the family in its fixed order, from the most
+lenient step on: a step is admissible while the exact (Clopper-Pearson) upper bound of its share of rejected good documents, for
+all rules of the stratum together, is at most ``alpha``; the first step that fails ends the test. A fixed order needs no correction
+over steps; over strata the level is ``delta`` / strata (Bonferroni). So with probability 1 - ``delta`` no stratum loses more
+than ``alpha`` of its good documents, whichever admissible step is then taken: the one that rejects the most bad holdout documents less
+``penalty`` times the good ones. A stratum with too few labelled documents gets no cutoff: it keeps what passes the base rules.
+
+Measures are taken once from whole texts; what is collected are counts per (stratum, rule, bin) and per (stratum, step).
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from plumbline.llm.common import materialize, ship
 
 BINS = 100
 ALPHA, DELTA, PENALTY = 0.02, 0.05, 4
+STEPS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)
+DESIGN = 3  # one labelled document in so many proposes cutoffs, the others test them
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "n_common")
@@ -127,38 +131,71 @@ def false_rejection_bound(k: int, n: int, level: float) -> float:
     return hi
 
 
-def choose(counts: list[tuple[str | None, str, int, int, int]], n_rules: int, alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY) -> list[tuple[str | None, str, int, float]]:
-    """(stratum, rule, cutoff, bound) from the labelled (stratum, rule, bin, good, bad) counts."""
-    strata = {c[0] for c in counts}
-    level = delta / max(1, len(strata) * n_rules * BINS)
-    grid: dict[tuple, list[list[int]]] = {}
+Cutoffs = dict[str, int]
+
+
+def propose(counts: list[tuple[str | None, str, int, int, int]], penalty: float = PENALTY) -> dict[str | None, list[Cutoffs]]:
+    """stratum -> cutoffs by rule at each of STEPS, from the design documents' (stratum, rule, bin, good, bad).
+
+    A rule is proposed for a stratum if at the last step it rejects more bad documents than ``penalty`` times the good ones, and at least three.
+    """
+    cells: dict[tuple, list[list[int]]] = {}
     for s, r, b, good, bad in counts:
-        cell = grid.setdefault((s, r), [[0] * (BINS + 1), [0] * (BINS + 1)])
+        cell = cells.setdefault((s, r), [[0] * (BINS + 1), [0] * (BINS + 1)])
         cell[0][b] += good
         cell[1][b] += bad
-    out = []
-    for (s, r), (good, bad) in grid.items():
-        n, k, hit, best = sum(good), 0, 0, None
-        for cutoff in range(BINS - 1, -1, -1):  # rejected: bins above the cutoff
-            k += good[cutoff + 1]
-            hit += bad[cutoff + 1]
-            bound = false_rejection_bound(k, n, level)
-            if bound > alpha / n_rules:
-                break  # the bound rises with k
-            if hit - penalty * k > (best[0] if best else 0):
-                best = (hit - penalty * k, cutoff, bound)
-        if best:
-            out.append((s, r, best[1], best[2]))
-    return sorted(out, key=lambda x: (x[0] is None, x[0] or "", x[1]))
+    out: dict[str | None, list[Cutoffs]] = {}
+    for (s, r), (good, bad) in cells.items():
+        n, cuts = sum(good), []
+        for share in STEPS:
+            cutoff = BINS
+            while cutoff > 0 and sum(good[cutoff:]) <= share * n:
+                cutoff -= 1
+            cuts.append(cutoff)
+        hit, lost = sum(bad[cuts[-1] + 1 :]), sum(good[cuts[-1] + 1 :])
+        if n and hit >= 3 and hit > penalty * lost:
+            for step, cutoff in zip(out.setdefault(s, [{} for _ in STEPS]), cuts):
+                step[r] = cutoff
+    return out
+
+
+def select(tests: dict[str | None, list[tuple[int, int, int]]], strata: int, alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY) -> dict[str | None, tuple[int, float]]:
+    """stratum -> (step, bound) from each step's (good documents, rejected ones of them, rejected bad ones) of the holdout."""
+    out = {}
+    for s, steps in tests.items():
+        best = 0.0
+        for k, (n, lost, hit) in enumerate(steps):
+            bound = false_rejection_bound(lost, n, delta / max(1, strata))
+            if bound > alpha:
+                break
+            if hit - penalty * lost > best:
+                best = hit - penalty * lost
+                out[s] = k, bound
+    return out
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str | None, str, int, float]]:
-    """Cutoffs from all labelled rows of ``measured`` that pass the base rules. ``labels``: (doc_id, quality 0 or 1)."""
+    """(stratum, rule, cutoff, the stratum's bound) from all labelled rows of ``measured`` that pass the base rules. ``labels``: (doc_id, quality 0 or 1)."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumnRenamed("doc_id", "l_id")
     rows = measured.where(~base_failed()).join(known, F.col("doc_id") == F.col("l_id"))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("bin")) for k, v in rules().items()])).alias("m")
-    counts = rows.select("stratum", "quality", each).groupBy("stratum", "m.rule", "m.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
-    return choose([tuple(r) for r in counts.collect()], len(rules()), alpha, delta)
+    rows = materialize(rows.select("stratum", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(DESIGN)) == 0).alias("design"), *[v.alias(k) for k, v in rules().items()]), "quality_labelled")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("bin")) for k in rules()])).alias("m")
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
+    counts = rows.where("design").select("stratum", "quality", each).groupBy("stratum", "m.rule", "m.bin").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"))
+    family = propose([tuple(r) for r in counts.collect()])
+    if not family:
+        return []
+    hits = []
+    for k in range(len(STEPS)):
+        over = F.lit(False)
+        for s, steps in family.items():
+            for rule, cutoff in steps[k].items():
+                over = over | (F.col("stratum").eqNullSafe(F.lit(s)) & (F.col(rule) > cutoff))
+        hits += [F.count_if(good & over).alias(f"lost{k}"), F.count_if(bad & over).alias(f"hit{k}")]
+    held = rows.where(~F.col("design")).groupBy("stratum").agg(F.count_if(good).alias("n"), *hits).collect()
+    tests = {r["stratum"]: [(r["n"], r[f"lost{k}"], r[f"hit{k}"]) for k in range(len(STEPS))] for r in held if r["stratum"] in family}
+    chosen = select(tests, len(family), alpha, delta)
+    return [(s, rule, cutoff, bound) for s, (k, bound) in sorted(chosen.items(), key=lambda x: (x[0] is None, x[0] or "")) for rule, cutoff in sorted(family[s][k].items())]
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
