@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import formats
+from plumbline.sources import files
 
 
 def atomic_write(path: str | Path, data: bytes) -> None:
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    Path(part).write_bytes(data)
-    os.replace(part, path)
+    files.write_bytes(str(path), data)
 
 
 def write_json(path: str | Path, obj: object) -> None:
@@ -127,10 +126,10 @@ def ignored(path: str, skip_dirs: tuple[str, ...] = ("__pycache__", "logs", "che
 def audit_pack(root: str | Path, out: str | Path) -> list[str]:
     """tar.gz of the files under ``root`` with MANIFEST.sha256 (hash, two spaces, path; by path); returns its lines."""
     root, lines = Path(root), []
-    files = [p for p in sorted(root.rglob("*")) if p.is_file() and not ignored(str(p.relative_to(root)))]
+    found = [p for p in sorted(root.rglob("*")) if p.is_file() and not ignored(str(p.relative_to(root)))]
     part = f"{out}.{uuid.uuid4().hex}.part"
     with tarfile.open(part, "w:gz") as tar:
-        for p in files:
+        for p in found:
             name = str(p.relative_to(root))
             h = hashlib.sha256()
             with open(p, "rb") as f:

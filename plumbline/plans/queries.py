@@ -7,13 +7,11 @@ stand-in with three seeds.
 
 from __future__ import annotations
 
+import io
 import json
-import math
-import os
 import tempfile
 import uuid
 import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -514,10 +512,10 @@ def npz_source(spark, sf_dir):
     import numpy as np
 
     rows = series.arrays(points(spark, sf_dir).where("i < 120")).orderBy("var_key").collect()
-    folder = tempfile.mkdtemp(prefix="plumbline-npz-")
-    path = f"{folder}/cache.npz"
+    path, out = f"{_scratch(spark, 'npz')}/cache.npz", io.BytesIO()
     n = np.array([len(r["values"]) for r in rows])
-    np.savez(path, var_keys=np.array([r["var_key"] for r in rows]), series_off=np.cumsum(n) - n, series_len=n, series=np.concatenate([r["values"] for r in rows]))
+    np.savez(out, var_keys=np.array([r["var_key"] for r in rows]), series_off=np.cumsum(n) - n, series_len=n, series=np.concatenate([r["values"] for r in rows]))
+    files.write_bytes(path, out.getvalue())
     npz.register(spark)
     flat = spark.read.format("npz").option("path", path).option("columns", "var_keys,series_len").load()
     values = npz.ragged_series(spark, path)
@@ -529,11 +527,12 @@ SELECT event_type || '__all' AS var_key, CASE WHEN seen > 1 THEN b || '__i' || e
 def zip_source(spark, sf_dir):
     """A ZIP of JSON files, one a variable, read member by member."""
     rows = files.table(spark, sf_dir, "events").where("event_id < 300").select("event_type", "event_id", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "value").orderBy("event_id").collect()
-    path = f"{tempfile.mkdtemp(prefix='plumbline-zip-')}/data.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    path, out = f"{_scratch(spark, 'zip')}/data.zip", io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
         for kind in sorted({r["event_type"] for r in rows}):
             samples = [{"idx": r["event_id"], "past_time": {"timestamp": [r["t"]], "value": [r["value"]]}, "future_time": {"timestamp": [r["t"]], "value": [r["value"]]}} for r in rows if r["event_type"] == kind]
             z.writestr(f"wrapper/{kind}/all.json", json.dumps({"samples": samples}))
+    files.write_bytes(path, out.getvalue())
     return zipjson.samples(spark, path).select("var_key", "sample_id", *long("idx"), F.element_at("past", -1).alias("last"))
 
 
@@ -545,7 +544,7 @@ def report_markdown(spark, sf_dir):
         by_domain = metrics.domain_level(by_var)
         total = metrics.overall_level(by_domain)
         over = metrics.over_seeds(total)
-        folder = Path(tempfile.mkdtemp(prefix="plumbline-report-"))
+        folder = _scratch(spark, "report")
         rows = {
             "overall": (["method", "seed_stat", "MSE", "MAE"], report.overall_rows(over)),
             "domain_summary": (["method", "domain", "seed_stat", "MSE", "MAE"], report.domain_rows(metrics.over_seeds(by_domain, "domain"))),
@@ -555,10 +554,10 @@ def report_markdown(spark, sf_dir):
             "fallback_summary": (["method", "seed", "overall_MSE", "overall_MAE", "n_fallback_domains"], report.fallback_rows(compare.with_fallback(by_domain, selection(by_domain), "N0"))),
         }
         for name, (header, body) in rows.items():
-            report.write_csv(folder / f"{name}.csv", header, body)
-        report.write_json(folder / "aggregate_summary.json", report.summary(over))
+            report.write_csv(f"{folder}/{name}.csv", header, body)
+        report.write_json(f"{folder}/aggregate_summary.json", report.summary(over))
         text = report.markdown("Evaluation", ["Equal weight from window to variable to domain to overall."], rows["overall"][1], rows["improvement_counts"][1], rows["comparisons"][1], rows["fallback_summary"][1], ["Overlapping windows are not independent samples."])
-        report.atomic_write(folder / "report.md", text.encode())
-        return spark.createDataFrame([(p.name, p.stat().st_size > 0, len(p.read_text().splitlines())) for p in sorted(folder.iterdir())], "file string, written boolean, lines int")
+        report.atomic_write(f"{folder}/report.md", text.encode())
+        return spark.createDataFrame([(p.rsplit("/", 1)[1], len(data) > 0, len(data.splitlines())) for p in files.list_files(folder) for data in [files.open_uri(p).read()]], "file string, written boolean, lines int")
     finally:
         by_var.unpersist()

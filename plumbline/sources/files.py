@@ -5,11 +5,49 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def file_system(uri: str):
+    """(pyarrow filesystem, path) of a URI or a plain path."""
+    from pyarrow import fs
+
+    parts = urlparse(uri)
+    return (fs.LocalFileSystem(), unquote(parts.path)) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(uri)
+
+
+def open_uri(uri: str):
+    """A seekable input file."""
+    fs, path = file_system(uri)
+    return fs.open_input_file(path)
+
+
+def list_files(uri: str) -> list[str]:
+    """The files of a folder, by name; a file is its own list."""
+    from pyarrow import fs as pafs
+
+    fs, path = file_system(uri)
+    if fs.get_file_info(path).type != pafs.FileType.Directory:
+        return [uri]
+    head = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+    return sorted(head + i.path for i in fs.get_file_info(pafs.FileSelector(path)) if i.type == pafs.FileType.File)
+
+
+def write_bytes(uri: str, data: bytes) -> None:
+    """Write under another name, then rename: no reader sees half a file."""
+    fs, path = file_system(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, path)
+
+
 MANIFEST_SCHEMA = "variables map<string, struct<domain: string, fallback_std: double, sample_start_idx: map<string, int>, native: map<string, array<string>>>>"
 
 

@@ -1,30 +1,25 @@
 """Python data source "npz": columns of NumPy archives as rows.
 
-Options: path (a file, or a folder of .npz files), columns (comma-separated names to read; default all of one length).
+Options: path (a file, or a folder of .npz files; a path or URI), columns (comma-separated names to read; default all of one length).
 Every file is a partition. Two-dimensional arrays become arrays of doubles, scalars are repeated on every row. No pickles.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from plumbline.sources.files import list_files, open_uri
+
 
 class NpzPart(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, n) for n in os.listdir(path) if n.endswith(".npz"))
-    return [path]
-
-
 def _kind(a):
     base = StringType() if a.dtype.kind in "US" else LongType() if a.dtype.kind in "iub" else DoubleType()
     return ArrayType(base) if a.ndim == 2 else base
@@ -35,12 +30,12 @@ class NpzReader(DataSourceReader):
         self.names, self.path = [f.name for f in schema.fields], path
 
     def partitions(self) -> list[InputPartition]:
-        return [NpzPart(f) for f in _files(self.path)]
+        return [NpzPart(f) for f in list_files(self.path) if f.endswith(".npz")]
 
     def read(self, partition: NpzPart) -> Iterator[tuple]:
         import numpy as np
 
-        with np.load(partition.value, allow_pickle=False) as z:
+        with open_uri(partition.value) as f, np.load(f, allow_pickle=False) as z:
             cols = [z[n] for n in self.names]  # each member is read once
         rows = max((len(c) for c in cols if c.ndim), default=1)
         lists = [c.tolist() if c.ndim else [c.item()] * rows for c in cols]
@@ -56,7 +51,8 @@ class NpzDataSource(DataSource):
         import numpy as np
 
         names = [n.strip() for n in self.options.get("columns", "").split(",") if n.strip()]
-        with np.load(_files(self.options["path"])[0], allow_pickle=False) as z:
+        first = next(f for f in list_files(self.options["path"]) if f.endswith(".npz"))
+        with open_uri(first) as f, np.load(f, allow_pickle=False) as z:
             return StructType([StructField(n, _kind(z[n])) for n in names or z.files])
 
     def reader(self, schema: StructType) -> DataSourceReader:
@@ -70,7 +66,7 @@ def ragged_series(spark: SparkSession, path: str):
     """
     import numpy as np
 
-    with np.load(path, allow_pickle=False) as z:
+    with open_uri(path) as f, np.load(f, allow_pickle=False) as z:
         keys, off, n, flat = z["var_keys"], z["series_off"], z["series_len"], z["series"]
     if not len(keys) == len(off) == len(n):
         raise ValueError("keys, offsets and lengths differ in number")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from plumbline.sources.files import open_uri
+
 SCHEMA = "member string, file_pos int, idx int, date string, freq string, past_ts array<string>, past array<double>, future_ts array<string>, target array<double>"
 
 
@@ -27,11 +29,11 @@ class ZipJsonReader(DataSourceReader):
         self.path, self.load_values = path, load_values
 
     def partitions(self) -> list[InputPartition]:
-        with zipfile.ZipFile(self.path) as z:
+        with open_uri(self.path) as f, zipfile.ZipFile(f) as z:
             return [Member(n) for n in sorted(z.namelist()) if n.endswith(".json")]
 
     def read(self, partition: Member) -> Iterator[tuple]:
-        with zipfile.ZipFile(self.path) as z:
+        with open_uri(self.path) as f, zipfile.ZipFile(f) as z:
             samples = json.loads(z.read(partition.value))["samples"]
         for k, s in enumerate(samples):
             past, future = s["past_time"], s["future_time"]
