@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import ship, utf8
+from plumbline.llm.tokenize import byte_alphabet, vocabulary_path
 
 CACHE_WORDS = 500_000
 
@@ -87,13 +88,6 @@ class LongestMatch:
         return n
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, the others for U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
-
-
 def pieces_of(path: str) -> list[bytes]:
     """Pieces of a byte-level vocabulary file; special tokens, which have other characters or stand apart, are left out."""
     spec = json.loads(open(path, encoding="utf-8").read())
@@ -117,8 +111,6 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, cache_words: in
 
     Words are runs without ASCII white space; a null or empty text has none of either.
     """
-    from plumbline.llm.tokenize import vocabulary_path
-
     ship(docs.sparkSession)
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
 

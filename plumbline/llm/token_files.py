@@ -86,12 +86,14 @@ def unpack_blocks(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.nd
         w, n = int(key) // 65536, int(key) % 65536
         for pick in np.array_split(p := np.nonzero((width == w) & (lengths == n))[0], max(1, len(p) // 8192)):
             size = (n * w + 7) // 8
-            x = np.zeros((len(pick), n), dtype=np.uint32)
-            if w:
-                bits = np.unpackbits(raw[(starts[pick] + 6)[:, None] + np.arange(size)], axis=1, count=n * w, bitorder="little").reshape(len(pick), n, w)
-                wide = np.packbits(bits, axis=2, bitorder="little")
-                for b in range(wide.shape[2]):
-                    x |= wide[:, :, b].astype(np.uint32) << np.uint32(8 * b)
+            if not w:
+                x = np.zeros((len(pick), n), dtype=np.uint32)
+            else:  # an id's bits lie within the eight bytes from its first one
+                bit = np.arange(n) * w
+                rows = np.zeros((len(pick), size + 8), dtype=np.uint8)
+                rows[:, :size] = raw[(starts[pick] + 6)[:, None] + np.arange(size)]
+                words = np.lib.stride_tricks.as_strided(rows, (len(pick), size + 1, 8), (rows.strides[0], 1, 1))[:, bit >> 3].copy().view("<u8")[:, :, 0]
+                x = ((words >> (bit & 7).astype(np.uint64)) & np.uint64((1 << w) - 1)).astype(np.uint32)
             for k in np.nonzero(extra[pick])[0].tolist():
                 e, q = int(extra[pick[k]]), int(starts[pick[k]]) + 6 + size
                 x[k, raw[q : q + e]] |= np.frombuffer(data, dtype="<u4", count=e, offset=q + e) << np.uint32(w)

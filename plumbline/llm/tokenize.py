@@ -2,15 +2,17 @@
 
 The tokenizer's normaliser and pre-tokeniser never look across white space, so a text's ids are those of its chunks one after
 the other; words repeat, so most chunks are found in a bounded cache that a Python worker keeps over its tasks. Letters
-are lowered and a tail of ASCII punctuation is parted off before the library sees a chunk, where neither changes the ids.
+are lowered and a tail of ASCII punctuation is parted off before the library sees a chunk, where neither changes the ids. A word of
+plain Latin letters is one unit of the pre-tokeniser and normalised already: it goes to the library's model at once, as the
+string that its byte-level step would make of it. All other chunks go through the library's whole chain.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
 
 END_ID = 1
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -20,8 +22,15 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, the others for U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
+
+
 class ChunkEncoder:
-    """text -> ids as little-endian uint32 bytes."""
+    """text -> ids as little-endian uint32 bytes. Two generations of the caches are kept, so that frequent chunks stay."""
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         import os
@@ -30,8 +39,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
         self.cache: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_cache: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.most = cache_chunks
         #: Strings that the library finds in raw text before anything else; chunks that hold one are encoded as they are.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -40,20 +52,31 @@ class ChunkEncoder:
         if "<" in chunk and any(s in chunk for s in self.special):
             return chunk, ""
         core = chunk.rstrip(_TAIL)
-        if not core or not core[-1].isalpha():
+        if not core or not core[-1].lower().isalpha():  # a capital may be lowered to a letter and a mark, which joins the tail
             return (chunk.lower() if chunk.isascii() else chunk), ""
         return (core.lower() if core.isascii() else core), chunk[len(core) :]
 
+    def _ids(self, part: str) -> bytes:
+        if part.isalpha() and (part.isascii() or max(part) < "\u0180" and "\u0130" not in part):
+            word = part.lower()
+            plain = word if word.isascii() else "".join(map(self.stand_in.__getitem__, word.encode()))
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            got = self.old_parts.get(part)
+            self.parts[part] = got = self._ids(part) if got is None else got
+        return got
+
     def learn(self, chunks: set[bytes]) -> None:
-        new = {c: self._split(c.decode("utf-8", "replace")) for c in chunks}
-        missing = list({p for pair in new.values() for p in pair if p}.difference(self.parts))
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-        parts = self.parts
-        for c, (a, b) in new.items():
-            self.cache[c] = parts[a] + parts[b] if b else parts[a]
+        for c in chunks:
+            got = self.old_cache.get(c)
+            if got is None:
+                a, b = self._split(c.decode("utf-8", "replace"))
+                got = self._part(a) + self._part(b) if b else self._part(a)
+            self.cache[c] = got
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text in UTF-8; null is empty."""
@@ -61,9 +84,10 @@ class ChunkEncoder:
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            if len(self.cache) > self.most or len(self.parts) > self.most:
-                self.cache.clear()
-                self.parts.clear()
+            if len(self.cache) > self.most:
+                self.cache, self.old_cache = {}, self.cache
+            if len(self.parts) > self.most:
+                self.parts, self.old_parts = {}, self.parts
             self.learn(set(words).difference(self.cache))
             return b"".join(map(self.cache.__getitem__, words))
 
