@@ -279,7 +279,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = materialize(near_duplicates(docs, **options).select("doc_id", "component_id"), "simhash_found")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__pl_drop_id")).distinct()
-    rest = docs.join(drop, docs["doc_id"] == drop["__pl_drop_id"], "left_anti")
+    # The list grows with the corpus, so it is never broadcast: the join is a merge at every size.
+    rest = docs.join(drop.hint("merge"), docs["doc_id"] == drop["__pl_drop_id"], "left_anti")
     twice = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__pl_twice_id")), "simhash_twice")
     if not twice.limit(1).count():
         return rest
