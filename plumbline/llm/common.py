@@ -113,3 +113,34 @@ def utf8(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def below(o, n: int, total: int):
+    """Whether a hash is among the smallest share of all hashes that holds some three times ``n`` of ``total`` rows, or all if they are few."""
+    from pyspark.sql import functions as F
+
+    share = 1.0 if total <= 4 * n else 3.0 * n / total
+    return F.pmod(o, F.lit(1 << 31)) < F.lit(max(1, round(share * (1 << 31))))
+
+
+def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows of (doc_id, o, ...), ranked by the low bits of o; only a few times ``n`` rows are ranked at all, however many there are."""
+    from pyspark.sql import functions as F
+
+    return rows.where(below(F.col("o"), n, rows.count())).orderBy(F.pmod("o", F.lit(1 << 31)), "o", "doc_id").limit(n)
+
+
+def sample_texts(docs: DataFrame, candidates: DataFrame, *extra: str) -> list:
+    """Rows (s_o, text, extra...) of ``docs`` for a bounded list of (doc_id, o), o = xxhash64(text, doc_id), in order of o.
+
+    Only ids are ranked and collected first: ranking texts would send every partition's own first rows to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    spark = docs.sparkSession
+    few = candidates.select(F.col("doc_id").alias("s_id"), F.col("o").alias("s_o")).distinct().toArrow()
+    if not few.num_rows:
+        return []
+    same = docs["doc_id"].eqNullSafe(F.col("s_id")) & (F.xxhash64(docs["text"], docs["doc_id"]) == F.col("s_o"))
+    rows = docs.join(F.broadcast(spark.createDataFrame(few)), same).select("s_o", docs["text"], *[docs[c] for c in extra]).distinct().collect()
+    return sorted(rows, key=lambda r: (r["s_o"], r["text"] or "", *[str(r[c]) for c in extra]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ship
+from plumbline.llm.common import below, materialize, sample_texts, ship
 
 PER_LANG, MAX_CHARS, MAX_WORDS = 250, 8_000, 240_000
 MAX_ROWS = 20_000  # of all languages: what the driver holds and broadcasts
@@ -242,19 +242,17 @@ class Tagger:
 def training_rows(docs: DataFrame, in_training, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> list[tuple[str, str]]:
     """At most ``per_lang`` (text, lang) of each language, those with the smallest hashes.
 
-    The sample is taken in two steps, so that no language's rows meet in one task: each of 64 parts of a language, by hash, keeps the first
-    few by a window over part and language, and only those few meet.
+    Languages are counted first; then only a share of each language's hashes, with a few times the rows wanted, is ranked. Of very many languages the
+    most frequent are learned.
     """
     rows = docs.where(in_training & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    rows = rows.select("doc_id", "lang", F.xxhash64("text", "doc_id").alias("o")).withColumn("part", F.pmod("o", F.lit(64)))
-    few = Window.partitionBy("lang", "part").orderBy("o", "doc_id")
-    ids = rows.withColumn("r", F.row_number().over(few)).where(F.col("r") <= max(1, per_lang // 16))
-    all_ = Window.partitionBy("lang").orderBy("o", "doc_id")
-    ids = ids.withColumn("r", F.row_number().over(all_)).where(F.col("r") <= per_lang).select(F.col("doc_id").alias("s_id"), F.col("o").alias("s_o")).distinct()
-    few_ids = docs.sparkSession.createDataFrame(ids.orderBy("s_o", "s_id").limit(MAX_ROWS).toArrow())
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(few_ids), (F.col("doc_id") == F.col("s_id")) & (F.xxhash64("text", "doc_id") == F.col("s_o")))
-    got = texts.select("s_o", "text", "lang").distinct().collect()
-    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["s_o"], r["lang"], r["text"]))]
+    rows = materialize(rows.select("doc_id", "lang", F.xxhash64("text", "doc_id").alias("o")), "lid_candidates")
+    few = F.lit(False)
+    for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_ROWS // per_lang).collect():
+        few = few | ((F.col("lang") == r["lang"]) & below(F.col("o"), per_lang, r["n"]))
+    order = Window.partitionBy("lang").orderBy(F.pmod("o", F.lit(1 << 31)), "o", "doc_id")
+    ids = rows.where(few).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
+    return [(r["text"], r["lang"]) for r in sample_texts(docs, ids.select("doc_id", "o").limit(MAX_ROWS), "lang")]
 
 
 def identify(docs: DataFrame, folds: int = 4, fold: int = 2, **options) -> DataFrame:

@@ -209,12 +209,14 @@ def shard_links(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, radius: in
 def link_edges(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b) with a > b: edges that connect just what links of at most ``radius`` bits connect. ``nodes``: (fp, node), fp distinct.
 
-    The trees are built on the driver from at most ``sample`` fingerprints, those with the smallest hashes.
+    The trees are built on the driver from about ``sample`` fingerprints, those with the smallest hashes, and never more than twice that.
     """
     spark: SparkSession = nodes.sparkSession
     ship(spark)
     n = nodes.count()
-    got = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    # A share of the hashes that holds about ``sample`` fingerprints; ranking all would send each partition's first ones to the driver.
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) < F.lit((1 << 31) if n <= sample else max(1, round((1 << 31) * sample / n)))
+    got = nodes.select("fp").where(share).limit(2 * sample).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     leaf, trees, first = max(8, len(got) * shard_rows // max(1, n)), [], 0
     for mask in block_masks(blocks, radius):
         trees.append(RoutingTree(got, mask, radius, leaf, first))
