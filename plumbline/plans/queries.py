@@ -8,10 +8,8 @@ stand-in with three seeds.
 from __future__ import annotations
 
 import io
-import json
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -525,15 +523,17 @@ def npz_source(spark, sf_dir):
 @query("""WITH base AS (SELECT *, 'grp' AS g, event_type || '__all__' || strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') AS b, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) AS seen FROM events WHERE event_id < 300)
 SELECT event_type || '__all' AS var_key, CASE WHEN seen > 1 THEN b || '__i' || event_id ELSE b END AS sample_id, CAST(event_id AS BIGINT) AS idx, value AS last FROM base""")
 def zip_source(spark, sf_dir):
-    """A ZIP of JSON files, one a variable, read member by member."""
-    rows = files.table(spark, sf_dir, "events").where("event_id < 300").select("event_type", "event_id", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "value").orderBy("event_id").collect()
-    path, out = f"{_scratch(spark, 'zip')}/data.zip", io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for kind in sorted({r["event_type"] for r in rows}):
-            samples = [{"idx": r["event_id"], "past_time": {"timestamp": [r["t"]], "value": [r["value"]]}, "future_time": {"timestamp": [r["t"]], "value": [r["value"]]}} for r in rows if r["event_type"] == kind]
-            z.writestr(f"wrapper/{kind}/all.json", json.dumps({"samples": samples}))
-    files.write_bytes(path, out.getvalue())
-    return zipjson.samples(spark, path).select("var_key", "sample_id", *long("idx"), F.element_at("past", -1).alias("last"))
+    """The rows of ``zip_source_all`` that the SQL covers; all events are written and read."""
+    return zip_source_all(spark, sf_dir).where("idx < 300")
+
+
+@query(None)
+def zip_source_all(spark, sf_dir):
+    """All events as ZIPs of JSON files, written by the executors in bounded pieces of one variable and read member by member."""
+    rows = files.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("idx"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "value")
+    folder = _scratch(spark, "zip")
+    zipjson.write(rows, folder)
+    return zipjson.samples(spark, folder).select("var_key", "sample_id", *long("idx"), F.element_at("past", -1).alias("last"))
 
 
 @query(None)

@@ -1,27 +1,31 @@
-"""Python data source "zipjson": variables of a ZIP of JSON files as rows, one a sample, in file order.
+"""Python data source "zipjson": variables of ZIPs of JSON files as rows, one a sample, in file order.
 
-Options: path, load_values (default true; false leaves the values null). Members are sorted and dealt out as partitions.
+Options: path (a file, or a folder of .zip files), load_values (default true; false leaves the values null). Members are sorted and dealt out
+as partitions. A variable may go on in the next files by name: file_pos rises along them.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from plumbline.sources.files import open_uri
+from plumbline.sources.files import list_files, open_uri, write_bytes
 
-SCHEMA = "member string, file_pos int, idx int, date string, freq string, past_ts array<string>, past array<double>, future_ts array<string>, target array<double>"
+SCHEMA = "member string, file_pos long, idx int, date string, freq string, past_ts array<string>, past array<double>, future_ts array<string>, target array<double>"
 
 
 class Member(InputPartition):
-    def __init__(self, name: str):
-        super().__init__(name)
+    def __init__(self, path: str, number: int, name: str):
+        super().__init__((path, number, name))
 
 
 class ZipJsonReader(DataSourceReader):
@@ -29,16 +33,21 @@ class ZipJsonReader(DataSourceReader):
         self.path, self.load_values = path, load_values
 
     def partitions(self) -> list[InputPartition]:
-        with open_uri(self.path) as f, zipfile.ZipFile(f) as z:
-            return [Member(n) for n in sorted(z.namelist()) if n.endswith(".json")]
+        out = []
+        for number, path in enumerate(list_files(self.path)):
+            if path == self.path or path.endswith(".zip"):
+                with open_uri(path) as f, zipfile.ZipFile(f) as z:
+                    out += [Member(path, number, n) for n in sorted(z.namelist()) if n.endswith(".json")]
+        return out
 
     def read(self, partition: Member) -> Iterator[tuple]:
-        with open_uri(self.path) as f, zipfile.ZipFile(f) as z:
-            samples = json.loads(z.read(partition.value))["samples"]
-        for k, s in enumerate(samples):
+        path, number, name = partition.value
+        with open_uri(path) as f, zipfile.ZipFile(f) as z:
+            samples = json.loads(z.read(name))["samples"]
+        for k, s in enumerate(samples, number << 32):
             past, future = s["past_time"], s["future_time"]
             values = [[float(x) for x in part["value"]] if self.load_values else None for part in (past, future)]
-            yield partition.value, k, s.get("idx"), s.get("date"), s.get("freq"), past["timestamp"], values[0], future["timestamp"], values[1]
+            yield name, k, s.get("idx"), s.get("date"), s.get("freq"), past["timestamp"], values[0], future["timestamp"], values[1]
 
 
 class ZipJsonDataSource(DataSource):
@@ -70,3 +79,22 @@ def samples(spark: SparkSession, path: str, load_values: bool = True) -> DataFra
     rows = raw.withColumn("w", where).withColumns({"grp": F.col("w.grp"), "domain": F.col("w.domain"), "var": F.element_at(parts, -1)}).drop("w")
     rows = rows.withColumns({"future_start": F.element_at("future_ts", 1).cast("timestamp_ntz"), "future_end": F.element_at("future_ts", -1).cast("timestamp_ntz"), "var_key": var_key(F.col("domain"), F.col("var"))})
     return sample_ids(rows).orderBy("var_key", "future_start", F.coalesce("idx", F.lit(0)))
+
+
+def write(rows: DataFrame, folder: str, ids: int = 1 << 14) -> None:
+    """Write ``rows`` (kind, idx, t, value; idx unique, from 0) as ZIPs below ``folder``, by the executors: one of each kind and range of ``ids`` ids."""
+
+    def save(key, part):
+        kind, chunk = (k.as_py() for k in key)
+        samples = []
+        for r in sorted(part.to_pylist(), key=lambda r: r["idx"]):
+            one = {"timestamp": [r["t"]], "value": [r["value"]]}
+            samples.append({"idx": r["idx"], "past_time": one, "future_time": one})
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(f"wrapper/{kind}/all.json", json.dumps({"samples": samples}))
+        write_bytes(f"{folder}/{chunk:012d}-{hashlib.md5(kind.encode()).hexdigest()}.zip", out.getvalue())
+        return pa.table({"n": pa.array([len(samples)], pa.int64())})
+
+    dealt = rows.withColumn("chunk", F.floor(F.col("idx") / ids))
+    dealt.groupBy("kind", "chunk").applyInArrow(save, "n long").agg(F.sum("n")).collect()
