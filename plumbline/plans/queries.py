@@ -7,7 +7,6 @@ stand-in with three seeds.
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
 
@@ -506,18 +505,24 @@ def quarantine_drill(spark, sf_dir):
 
 @query(f"WITH {POINTS} SELECT var_key, CAST(count(*) AS BIGINT) AS n, round(sum(v), 2) AS total FROM points WHERE i < 120 GROUP BY var_key")
 def npz_source(spark, sf_dir):
-    """A ragged cache written with NumPy and read by the source; and its flat columns by the data source."""
-    import numpy as np
+    """The points that the SQL covers, of whole series written and read."""
+    first = npz_chunks(spark, sf_dir).withColumn("values", F.slice("values", 1, F.greatest(F.lit(0), F.least(F.size("values"), (120 - F.col("chunk") * series.CHUNK).cast("int")))))
+    return first.groupBy("var_key").agg(F.sum(F.size("values")).cast("long").alias("n"), F.round(F.sum(scalar.array_sum(F.col("values"))), 2).alias("total"))
+
+
+@query(None)
+def npz_source_all(spark, sf_dir):
+    """Length and sum of every whole series."""
+    return npz_chunks(spark, sf_dir).groupBy("var_key").agg(F.sum("series_len").cast("long").alias("n"), F.round(F.sum(scalar.array_sum(F.col("values"))), 2).alias("total"))
+
 
-    rows = series.arrays(points(spark, sf_dir).where("i < 120")).orderBy("var_key").collect()
-    path, out = f"{_scratch(spark, 'npz')}/cache.npz", io.BytesIO()
-    n = np.array([len(r["values"]) for r in rows])
-    np.savez(out, var_keys=np.array([r["var_key"] for r in rows]), series_off=np.cumsum(n) - n, series_len=n, series=np.concatenate([r["values"] for r in rows]))
-    files.write_bytes(path, out.getvalue())
+def npz_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole series in ragged caches, written with NumPy by the executors in bounded chunks and read by the source; and their flat columns by the data source."""
+    folder = _scratch(spark, "npz")
+    npz.write_ragged(series.chunks(points(spark, sf_dir), 0), folder)
     npz.register(spark)
-    flat = spark.read.format("npz").option("path", path).option("columns", "var_keys,series_len").load()
-    values = npz.ragged_series(spark, path)
-    return flat.join(values, F.col("var_keys") == F.col("var_key")).select("var_key", F.col("series_len").alias("n"), F.round(scalar.array_sum(F.col("values")), 2).alias("total"))
+    flat = spark.read.format("npz").option("path", folder).option("columns", "var_keys,chunk,series_len").load().select(F.col("var_keys").alias("var_key"), "chunk", "series_len")
+    return flat.join(npz.ragged_series(spark, folder), ["var_key", "chunk"])
 
 
 @query("""WITH base AS (SELECT *, 'grp' AS g, event_type || '__all__' || strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') AS b, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) AS seen FROM events WHERE event_id < 300)

@@ -6,13 +6,15 @@ Every file is a partition. Two-dimensional arrays become arrays of doubles, scal
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from plumbline.sources.files import list_files, open_uri
+from plumbline.sources.files import list_files, open_uri, write_bytes
 
 
 class NpzPart(InputPartition):
@@ -59,18 +61,48 @@ class NpzDataSource(DataSource):
         return NpzReader(schema, self.options["path"])
 
 
-def ragged_series(spark: SparkSession, path: str):
-    """(var_key, values) of a cache with one flat value array and per-series offsets and lengths.
+def ragged_series(spark: SparkSession, path: str) -> DataFrame:
+    """(var_key, chunk, values) of caches with one flat value array and per-series offsets and lengths: a file, or a folder of .npz files.
 
-    Its columns differ in length, so it is read with NumPy on the driver, once, to be stored as Parquet.
+    Columns of such a file differ in length, so it is read with NumPy, whole, by a task of its own. Files without ``chunk`` hold whole series, as chunk 0.
     """
-    import numpy as np
+    import pyarrow as pa
 
-    with open_uri(path) as f, np.load(f, allow_pickle=False) as z:
-        keys, off, n, flat = z["var_keys"], z["series_off"], z["series_len"], z["series"]
-    if not len(keys) == len(off) == len(n):
-        raise ValueError("keys, offsets and lengths differ in number")
-    return spark.createDataFrame([(str(k), flat[o : o + m].tolist()) for k, o, m in zip(keys, off.tolist(), n.tolist())], "var_key string, `values` array<double>")
+    def load(batches):
+        import numpy as np
+
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                with open_uri(p) as f, np.load(f, allow_pickle=False) as z:
+                    keys, off, n, flat = z["var_keys"], z["series_off"], z["series_len"], z["series"]
+                    chunk = z["chunk"] if "chunk" in z.files else np.zeros(len(keys), dtype=np.int64)
+                if not len(keys) == len(off) == len(n) == len(chunk):
+                    raise ValueError("keys, offsets and lengths differ in number")
+                for k, c, o, m in zip(keys.tolist(), chunk.tolist(), off.tolist(), n.tolist()):
+                    yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([c], pa.int64()), pa.array([flat[o : o + m]], pa.list_(pa.float64()))], names=["var_key", "chunk", "values"])
+
+    paths = [p for p in list_files(path) if p == path or p.endswith(".npz")]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return rows.mapInArrow(load, "var_key string, chunk long, `values` array<double>")
+
+
+def write_ragged(chunks: DataFrame, folder: str, rows: int = 256) -> None:
+    """Write ``chunks`` (var_key, chunk, values) as ragged caches of at most ``rows`` chunks each below ``folder``, by the executors."""
+    import pyarrow as pa
+
+    def save(batches):
+        import numpy as np
+
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                keys, chunk, values = (c.to_pylist() for c in b.slice(k, rows).columns)
+                n, out = np.array([len(v) for v in values], dtype=np.int64), io.BytesIO()
+                flat = np.concatenate([np.array(v, dtype=np.float64) for v in values])
+                np.savez(out, var_keys=np.array(keys), chunk=np.array(chunk, dtype=np.int64), series_off=np.cumsum(n) - n, series_len=n, series=flat)
+                write_bytes(f"{folder}/{uuid.uuid4().hex}.npz", out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    chunks.select("var_key", "chunk", "values").mapInArrow(save, "n long").agg({"n": "sum"}).collect()
 
 
 def register(spark: SparkSession) -> None:

@@ -1,5 +1,8 @@
 """Queries that take all rows, against brute force: their SQL, where there is one, covers a part only."""
 
+import pytest
+
+from plumbline.plans import queries
 from plumbline.plans.registry import QUERIES
 from plumbline.sources import zipjson
 
@@ -20,3 +23,14 @@ def test_ids_go_on_over_zips(spark, tmp_path):
     assert len(list(tmp_path.glob("*.zip"))) == 4
     got = {r["idx"]: r["sample_id"] for r in zipjson.samples(spark, str(tmp_path)).collect()}
     assert got == {0: "k__all__20300101T000000"} | {i: f"k__all__20300101T000000__i{i}" for i in range(1, 10)}
+
+
+POINTS = f"WITH {queries.POINTS} SELECT var_key, i, v FROM points"
+
+
+def test_npz_of_whole_series(spark, sf, duck):
+    want = duck.execute(f"SELECT var_key, count(*), sum(v) FROM ({POINTS}) GROUP BY ALL").fetchall()
+    got = {r["var_key"]: (r["n"], r["total"]) for r in QUERIES["npz_source_all"](spark, sf).collect()}
+    assert len(got) == len(want) and max(n for _, n, _ in want) > 120
+    for key, n, total in want:
+        assert got[key][0] == n and got[key][1] == pytest.approx(total, abs=0.02)
