@@ -109,7 +109,14 @@ def windows_keys(spark, sf_dir):
 
 @query(f"WITH {WINDOWS} SELECT domain, var_key, sample_id, CAST(k AS BIGINT) AS k, v FROM cells WHERE s % 48 = 0")
 def windows_long(spark, sf_dir):
-    return windows.long_form(windows.cut(points(spark, sf_dir), 48)).select("domain", "var_key", "sample_id", *long("k"), "v")
+    """The windows that the SQL covers, of all that are cut."""
+    return windows.long_form(windows.cut(points(spark, sf_dir), STRIDE).where("s % 48 = 0")).select("domain", "var_key", "sample_id", *long("k"), "v")
+
+
+@query(None)
+def windows_long_all(spark, sf_dir):
+    """The long form of all windows."""
+    return windows.long_form(windows.cut(points(spark, sf_dir), STRIDE)).select("domain", "var_key", "sample_id", *long("k"), "v")
 
 
 @query(f"WITH {WINDOWS} SELECT sample_id, CAST(k AS BIGINT) AS k, v FROM cells WHERE s % 200 = 0")
@@ -408,8 +415,19 @@ def key_diff(spark, sf_dir):
 
 @query(f"WITH {WINDOWS} SELECT CAST(2 * count(*) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS one_sided, true AS same, CAST(0 AS BIGINT) AS beyond FROM starts WHERE s % 12 = 0")
 def diff_report(spark, sf_dir):
+    """Both cuts at all starts, compared at those that the SQL covers."""
+    return cuts_compared(spark, sf_dir, "s % 12 = 0")
+
+
+@query(None)
+def diff_report_all(spark, sf_dir):
+    """Both cuts compared at all starts."""
+    return cuts_compared(spark, sf_dir, "true")
+
+
+def cuts_compared(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    both = [f(pts, 12).select("sample_id", scalar.array_pstd(F.col("past")).alias("sd"), scalar.array_sum(F.col("target")).alias("total")) for f in (windows.cut, windows.cut_frames)]
+    both = [f(pts, STRIDE).where(at).select("sample_id", scalar.array_pstd(F.col("past")).alias("sd"), scalar.array_sum(F.col("target")).alias("total")) for f in (windows.cut, windows.cut_frames)]
     got = compare.diff(*both, ["sample_id"], ["sd", "total"], atol=1e-12)
     return got.select("cells", "one_sided", ((F.col("max_abs") <= 1e-12) & (F.col("max_rel") <= 1e-12)).alias("same"), "beyond")
 

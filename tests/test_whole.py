@@ -34,3 +34,21 @@ def test_npz_of_whole_series(spark, sf, duck):
     assert len(got) == len(want) and max(n for _, n, _ in want) > 120
     for key, n, total in want:
         assert got[key][0] == n and got[key][1] == pytest.approx(total, abs=0.02)
+
+
+def series_of(duck):
+    out = {}
+    for key, _, v in sorted(duck.execute(POINTS).fetchall()):
+        out.setdefault(key, []).append(v)
+    return out
+
+
+def test_long_form_of_all_windows(spark, sf, duck):
+    want = {(f"{key}__{s}", k, v[s + k]) for key, v in series_of(duck).items() for s in range(0, len(v) - 107, queries.STRIDE) for k in range(108)}
+    got = [(r["sample_id"], r["k"], r["v"]) for r in QUERIES["windows_long_all"](spark, sf).select("sample_id", "k", "v").toLocalIterator()]
+    assert len(got) == len(want) and set(got) == want and any(int(i.rsplit("__", 1)[1]) % 48 for i, _, _ in got)
+
+
+def test_diff_of_all_windows(spark, sf, duck):
+    n = sum(len(range(0, len(v) - 107, queries.STRIDE)) for v in series_of(duck).values())
+    assert [tuple(r) for r in QUERIES["diff_report_all"](spark, sf).collect()] == [(2 * n, 0, True, 0)]
