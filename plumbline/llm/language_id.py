@@ -1,7 +1,7 @@
 """Language identification of words in code-switched text by a linear-chain conditional random field.
 
 A word's features are its affixes (up to three letters of either end), its letter pairs and triples with word bounds, and the
-word itself (the lexicon). Their learned weights add up to an emission score for each language; learned transition scores join
+word itself (the lexicon). A run of over ``PIECE`` letters without white space is cut into several positions; no letter is passed over. Their learned weights add up to an emission score for each language; learned transition scores join
 neighbours. Forward-backward gives each word's probabilities; a text's language is the one with the largest mean
 over its words, and that mean is the score. Both passes run over many texts at once, position by position.
 
@@ -23,18 +23,25 @@ from plumbline.llm.common import below, materialize, sample_texts, ship
 PER_LANG, MAX_CHARS, MAX_WORDS = 250, 8_000, 240_000
 MAX_ROWS = 20_000  # of all languages: what the driver holds and broadcasts
 STEPS, SEQ, BATCH = 3, 32, 128
+PIECE = 64  # letters a position
 _CACHE_WORDS, _GRID_WORDS = 300_000, 150_000
 _STRIP = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~«»„“”‚‘’…–—¡¿0123456789"
 
 
+def pieces(w: str) -> list[str]:
+    """A word of any length as positions of at most ``PIECE`` letters; neighbours share two letters, so that each triple is in one of them."""
+    return [w] if len(w) <= PIECE else [w[k : k + PIECE] for k in range(0, len(w) - 2, PIECE - 2)]
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-case words without punctuation about them; words without a letter are passed over."""
-    return [w for x in text.lower().split() if (w := x.strip(_STRIP)) and not w.isnumeric()]
+    """Lower-case words without punctuation about them, long ones in pieces; words without a letter are passed over."""
+    words = [w for x in text.lower().split() if (w := x.strip(_STRIP)) and not w.isnumeric()]
+    return [p for w in words for p in pieces(w)] if any(len(w) > PIECE for w in words) else words
 
 
 def features(w: str) -> list[str]:
-    s = f"\x02{w[:24]}\x03"  # affixes and n-grams of very long words come from their first letters and last ones
-    out = [f"w{w[:64]}"]
+    s = f"\x02{w}\x03"
+    out = [f"w{w}"]
     out += [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)]
     out += map("".join, zip(s, s[1:]))
     out += map("".join, zip(s, s[1:], s[2:]))
@@ -218,7 +225,7 @@ class Tagger:
                 waiting = []
                 self._clear()
             if self.crf.langs and has_letter(t):
-                waiting.append((k, self.numbers(words_of(t) or [t.lower()[:64]])))
+                waiting.append((k, self.numbers(words_of(t) or [p for x in t.lower().split() for p in pieces(x)])))
         self._run(waiting, out)
         return out
 

@@ -67,3 +67,28 @@ def test_odd_tables(spark, sf):
     unlabelled = docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")
     assert {r["lang_pred"] for r in lid.identify(unlabelled).collect()} == {"und"}
     assert lid.identify(docs.limit(0)).count() == 0
+
+
+def test_long_runs_count_whole(model):
+    crf, held = model
+    en, de = ("".join(lid.words_of(" ".join(held.text[held.lang == lang]))) for lang in ("en", "de"))
+    tagger = lid.Tagger(crf)
+    assert tagger.label([en[:24] + de[:3000]])[0][0] == "de" and tagger.label([de[:24] + en[:3000]])[0][0] == "en"
+    assert len(set(lid.features("a" * 10 + "abcdefghijklmnopqrstuvwxyz")) & {"xyz", "uvw"}) == 2
+
+
+def test_pieces_hold_every_triple():
+    for n in (1, 2, 63, 64, 65, 66, 67, 126, 127, 128, 500):
+        w = "".join(chr(0x4E00 + k) for k in range(n))
+        got = lid.pieces(w)
+        triples = [p[k : k + 3] for p in got for k in range(len(p) - 2)]
+        assert max(map(len, got)) <= lid.PIECE and set("".join(got)) == set(w) and triples == [w[k : k + 3] for k in range(n - 2)]
+
+
+def test_all_of_a_text_without_words_counts(monkeypatch, model):
+    crf, _ = model
+    tagger, seen = lid.Tagger(crf), []
+    numbers = tagger.numbers
+    monkeypatch.setattr(tagger, "numbers", lambda words: seen.extend(words) or numbers(words))
+    tagger.label(["一二 " * 100 + "三" * 100])
+    assert seen.count("一二") == 100 and sum(x.count("三") for x in seen) >= 100
