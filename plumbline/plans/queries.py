@@ -484,15 +484,22 @@ def _scratch(spark: SparkSession, tag: str) -> str:
 
 @query(f"WITH {PREDS} SELECT method, CAST(seed AS BIGINT) AS seed, domain, CAST(count(*) AS BIGINT) AS n, round(avg(y), 5) AS mean_pred FROM preds WHERE method = 'S' AND domain < 'B' GROUP BY ALL")
 def shard_roundtrip(spark, sf_dir):
-    """Write shards, verify them for reuse, and read them back."""
-    preds = predictions(wins(spark, sf_dir)).where("method = 'S' AND domain < 'B'")
+    """The shards that the SQL covers, of all that are written, verified and read back."""
+    return shard_roundtrip_all(spark, sf_dir).where("method = 'S' AND domain < 'B'")
+
+
+@query(None)
+def shard_roundtrip_all(spark, sf_dir):
+    """Write the shards of all methods, seeds and domains, verify them for reuse, and read them back."""
     shards = store.ShardStore(spark, _scratch(spark, "shards"))
     fp = store.fingerprint({"protocol": "eval-v1"}, {}, horizon=windows.HORIZON)
-    written = shards.save_all(preds, fp)
-    domains = sorted({w["shard"].split("__")[1] for w in written})
-    if not all(shards.reuse("S", s, d, fp) for s in SEEDS for d in domains):
+    written = sorted({tuple(w["shard"].split("__")) for w in shards.save_all(predictions(wins(spark, sf_dir)), fp)})
+    if not all(shards.reuse(m, int(s[1:]), d, fp) for m, d, s in written):
         raise integrity.ContractError("a fresh shard was rejected")
-    rows = shards.entries("S", list(SEEDS), domains)
+    rows = None
+    for m in sorted({m for m, _, _ in written}):
+        part = shards.entries(m, sorted({int(s[1:]) for n, _, s in written if n == m}), sorted({d for n, d, _ in written if n == m}))
+        rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("method", "seed", "domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.element_at("pred", 1)), 5).alias("mean_pred")).select("method", *long("seed"), "domain", "n", "mean_pred")
 
 

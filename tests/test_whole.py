@@ -52,3 +52,11 @@ def test_long_form_of_all_windows(spark, sf, duck):
 def test_diff_of_all_windows(spark, sf, duck):
     n = sum(len(range(0, len(v) - 107, queries.STRIDE)) for v in series_of(duck).values())
     assert [tuple(r) for r in QUERIES["diff_report_all"](spark, sf).collect()] == [(2 * n, 0, True, 0)]
+
+
+def test_shards_of_all_methods(spark, sf, duck):
+    want = duck.execute(f"WITH {queries.PREDS} SELECT method, seed, domain, count(*), avg(y) FROM preds GROUP BY ALL").fetchall()
+    got = {(r["method"], r["seed"], r["domain"]): (r["n"], r["mean_pred"]) for r in QUERIES["shard_roundtrip_all"](spark, sf).collect()}
+    assert len(got) == len(want) and {m for m, _, _ in got} == {"N0", "M", "S"} and len({d for _, _, d in got}) == 6
+    for m, s, d, n, mean in want:
+        assert got[m, s, d][0] == n and got[m, s, d][1] == pytest.approx(mean, abs=2e-5)
