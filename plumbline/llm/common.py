@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR = "plumbline.checkpoint.dir"
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, None] = {}  # folders of tables, in order
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all runs in one process (tests) one is made."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
     own = spark.conf.get(_OWN_DIR, "")
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="plumbline-shared-")
@@ -50,12 +53,36 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{re.sub(r'[^a-z0-9_]', '_', tag.lower())}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in a folder for each value of ``by``, and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_dir(spark, tag)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = None
+    out._plumbline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that no later step reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.__dict__.pop("_plumbline_path", None))
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``materialize`` wrote in this process, once no result that rests on them is needed; returns their number."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str | None) -> None:
+    if path in _WRITTEN:
+        del _WRITTEN[path]
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def open_fs(uri: str):
@@ -138,9 +165,10 @@ def sample_texts(docs: DataFrame, candidates: DataFrame, *extra: str) -> list:
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
-    few = candidates.select(F.col("doc_id").alias("s_id"), F.col("o").alias("s_o")).distinct().toArrow()
+    of, by = scratch_name(docs, "s_id"), scratch_name(docs, "s_o")
+    few = candidates.select(F.col("doc_id").alias(of), F.col("o").alias(by)).distinct().toArrow()
     if not few.num_rows:
         return []
-    same = docs["doc_id"].eqNullSafe(F.col("s_id")) & (F.xxhash64(docs["text"], docs["doc_id"]) == F.col("s_o"))
-    rows = docs.join(F.broadcast(spark.createDataFrame(few)), same).select("s_o", docs["text"], *[docs[c] for c in extra]).distinct().collect()
+    same = docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"], docs["doc_id"]) == F.col(by))
+    rows = docs.join(F.broadcast(spark.createDataFrame(few)), same).select(F.col(by).alias("s_o"), docs["text"].alias("text"), *[docs[c].alias(c) for c in extra]).distinct().collect()
     return sorted(rows, key=lambda r: (r["s_o"], r["text"] or "", *[str(r[c]) for c in extra]))
