@@ -12,8 +12,9 @@ from plumbline.operators.metrics import melt
 def improvement_counts(level: DataFrame, key: str, reference: str, metrics: tuple[str, ...] = ("mse", "mae")) -> DataFrame:
     """(method, metric, improved, degraded, equal, total): seeds are averaged first, then each key is compared with the reference method."""
     means = melt(level, key, metrics=metrics).groupBy("method", key, "metric").agg(F.avg("value").alias("value"))
-    ref = means.where(F.col("method") == reference).select(key, "metric", F.col("value").alias("ref"))
-    both = means.where(F.col("method") != reference).join(ref, [key, "metric"])
+    # the reference's value reaches the others of its key by a window: the ladder below is computed once, not once a side
+    ref = F.max(F.when(F.col("method") == reference, F.col("value"))).over(Window.partitionBy(key, "metric"))
+    both = means.withColumn("ref", ref).where((F.col("method") != reference) & F.col("ref").isNotNull())
     return both.groupBy("method", "metric").agg(
         F.count_if(F.col("value") < F.col("ref")).alias("improved"),
         F.count_if(F.col("value") > F.col("ref")).alias("degraded"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import all_finite
@@ -41,12 +41,23 @@ def mismatched(entries: DataFrame, expected: DataFrame, horizon: int, key: list[
 
 
 def coverage_report(entries: DataFrame, expected: DataFrame, horizon: int, key: list[str] = KEY) -> DataFrame:
-    """(rank, item, bad, ok): row count, uniqueness, key set both ways, values; in the order in which a failure is reported."""
-    n = entries.agg(F.count(F.lit(1)).alias("n")).crossJoin(expected.agg(F.count(F.lit(1)).alias("m"))).select(F.abs(F.col("n") - F.col("m")).alias("bad"))
-    parts = [("count", n)] + [(name, f.agg(F.count(F.lit(1)).alias("bad"))) for name, f in (
-        ("duplicates", duplicates(entries, key)), ("missing", missing(entries, expected, key)), ("extra", extra(entries, expected, key)), ("values", mismatched(entries, expected, horizon, key)))]
-    rows = [f.select(F.lit(i).alias("rank"), F.lit(name).alias("item"), F.col("bad").cast("long").alias("bad"), (F.col("bad") == 0).alias("ok")) for i, (name, f) in enumerate(parts)]
-    return reduce(DataFrame.unionByName, rows)
+    """(rank, item, bad, ok): row count, uniqueness, key set both ways, values; in the order in which a failure is reported.
+
+    Both sides are computed once and meet in one shuffle by key. Where a key is expected several times, entries are held against one of its rows.
+    """
+    sides = [f.select(*key, "target", "d", F.lit(x).alias("wanted")) for f, x in ((entries, False), (expected, True))]
+    of_key = Window.partitionBy(*key)
+    wanted = F.first(F.when(F.col("wanted"), F.struct("target", "d")), ignorenulls=True).over(of_key)
+    rows = sides[0].unionByName(sides[1]).withColumn("e", wanted)
+    ok = (F.size("target") == horizon) & same_array(F.col("target"), F.col("e.target")) & (F.col("d") == F.col("e.d")) & ~F.isnan("d")
+    off = ~F.col("wanted") & F.col("e").isNotNull() & ~F.coalesce(ok, F.lit(False))
+    per = rows.groupBy(*key).agg(F.count_if("wanted").alias("m"), F.count_if(~F.col("wanted")).alias("n"), F.count_if(off).alias("off"))
+    total = per.agg(
+        F.coalesce(F.abs(F.sum("n") - F.sum("m")), F.lit(0)).alias("count"), F.count_if(F.col("n") > 1).alias("duplicates"),
+        F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("m"))), F.lit(0)).alias("missing"), F.count_if(F.col("m") == 0).alias("extra"), F.coalesce(F.sum("off"), F.lit(0)).alias("values"),
+    )
+    items = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("item"), F.col(x).cast("long").alias("bad")) for i, x in enumerate(("count", "duplicates", "missing", "extra", "values"))])
+    return total.select(F.explode(items).alias("r")).select("r.rank", "r.item", "r.bad", (F.col("r.bad") == 0).alias("ok"))
 
 
 def verify_coverage(entries: DataFrame, expected: DataFrame, horizon: int, key: list[str] = KEY) -> None:
@@ -105,10 +116,10 @@ def merge_checked(by_var: DataFrame, domains: set[str], n_vars: int) -> DataFram
     return by_var
 
 
-def verdict(checks: DataFrame, ok: str = "ok") -> DataFrame:
-    """(all_ok, any_ok, n): all of nothing is true, and null is false."""
+def verdict(checks: DataFrame, ok: str = "ok", *by: str) -> DataFrame:
+    """(by, all_ok, any_ok, n): all of nothing is true, and null is false."""
     c = F.coalesce(F.col(ok), F.lit(False))
-    return checks.agg(F.coalesce(F.bool_and(c), F.lit(True)).alias("all_ok"), F.coalesce(F.bool_or(c), F.lit(False)).alias("any_ok"), F.count(F.lit(1)).alias("n"))
+    return checks.groupBy(*by).agg(F.coalesce(F.bool_and(c), F.lit(True)).alias("all_ok"), F.coalesce(F.bool_or(c), F.lit(False)).alias("any_ok"), F.count(F.lit(1)).alias("n"))
 
 
 def grid_gaps(runs: DataFrame, methods: list[str], seeds: list[int], domains: list[str]) -> DataFrame:

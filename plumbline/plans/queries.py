@@ -35,12 +35,13 @@ def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(w: DataFrame) -> DataFrame:
     """All methods' predictions of each window: windows are cut once and each is given its methods in place."""
+    # the context is folded to what the methods need before a row is copied for each of them
+    w = w.withColumns({"last": F.element_at("past", -1), "mean": scalar.array_mean(F.col("past"))}).drop("past")
     rows = w.withColumn("r", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("seed")) for m, s in [("N0", 0), ("M", 0), *[("S", s) for s in SEEDS]]])))
     rows = rows.withColumns({"method": F.col("r.method"), "seed": F.col("r.seed")}).drop("r")
     noise = 0.1 * F.col("d") * (scalar.derive_seed(F.col("seed"), F.col("var_key"), F.col("sample_id")) / 2147483646.0 - 0.5)
-    last = F.element_at("past", -1)
-    value = F.when(F.col("method") == "N0", last).when(F.col("method") == "M", scalar.array_mean(F.col("past"))).otherwise(last + noise)
-    return rows.withColumn("pred", F.array_repeat(value, windows.HORIZON))
+    value = F.when(F.col("method") == "N0", F.col("last")).when(F.col("method") == "M", F.col("mean")).otherwise(F.col("last") + F.when(F.col("method") == "S", noise))
+    return rows.withColumn("pred", F.array_repeat(value, windows.HORIZON)).drop("last", "mean")
 
 
 def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,15 +108,8 @@ def windows_keys(spark, sf_dir):
     return windows.cut(points(spark, sf_dir), STRIDE).select("domain", "var_key", "sample_id", *long("s"))
 
 
-@query(f"WITH {WINDOWS} SELECT domain, var_key, sample_id, CAST(k AS BIGINT) AS k, v FROM cells WHERE s % 48 = 0")
+@query(f"WITH {WINDOWS} SELECT domain, var_key, sample_id, CAST(k AS BIGINT) AS k, v FROM cells")
 def windows_long(spark, sf_dir):
-    """The windows that the SQL covers, of all that are cut."""
-    return windows.long_form(windows.cut(points(spark, sf_dir), STRIDE).where("s % 48 = 0")).select("domain", "var_key", "sample_id", *long("k"), "v")
-
-
-@query(None)
-def windows_long_all(spark, sf_dir):
-    """The long form of all windows."""
     return windows.long_form(windows.cut(points(spark, sf_dir), STRIDE)).select("domain", "var_key", "sample_id", *long("k"), "v")
 
 
@@ -413,21 +407,11 @@ def key_diff(spark, sf_dir):
     return integrity.key_diff(a, files.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query(f"WITH {WINDOWS} SELECT CAST(2 * count(*) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS one_sided, true AS same, CAST(0 AS BIGINT) AS beyond FROM starts WHERE s % 12 = 0")
+@query(f"WITH {WINDOWS} SELECT CAST(2 * count(*) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS one_sided, true AS same, CAST(0 AS BIGINT) AS beyond FROM starts")
 def diff_report(spark, sf_dir):
-    """Both cuts at all starts, compared at those that the SQL covers."""
-    return cuts_compared(spark, sf_dir, "s % 12 = 0")
-
-
-@query(None)
-def diff_report_all(spark, sf_dir):
     """Both cuts compared at all starts."""
-    return cuts_compared(spark, sf_dir, "true")
-
-
-def cuts_compared(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    both = [f(pts, STRIDE).where(at).select("sample_id", scalar.array_pstd(F.col("past")).alias("sd"), scalar.array_sum(F.col("target")).alias("total")) for f in (windows.cut, windows.cut_frames)]
+    both = [f(pts, STRIDE).select("sample_id", scalar.array_pstd(F.col("past")).alias("sd"), scalar.array_sum(F.col("target")).alias("total")) for f in (windows.cut, windows.cut_frames)]
     got = compare.diff(*both, ["sample_id"], ["sd", "total"], atol=1e-12)
     return got.select("cells", "one_sided", ((F.col("max_abs") <= 1e-12) & (F.col("max_rel") <= 1e-12)).alias("same"), "beyond")
 
@@ -467,29 +451,24 @@ def grid_gaps(spark, sf_dir):
 @query("SELECT event_type, true AS all_ok, true AS any_ok FROM events GROUP BY ALL UNION ALL SELECT 'none', true, false UNION ALL SELECT 'null', false, true")
 def verdicts(spark, sf_dir):
     e = files.table(spark, sf_dir, "events").select("event_type", F.lit(True).alias("ok"))
-    types = [r[0] for r in e.select("event_type").distinct().collect()]
-    parts = [(t, e.where(F.col("event_type") == t)) for t in types] + [("none", e.limit(0)), ("null", spark.createDataFrame([(True,), (None,)], "ok boolean"))]
-    out = None
-    for name, f in parts:
-        v = integrity.verdict(f).select(F.lit(name).alias("event_type"), "all_ok", "any_ok")
-        out = v if out is None else out.unionByName(v)
-    return out
+    parts = [integrity.verdict(e, "ok", "event_type")]
+    for name, f in (("none", e.limit(0)), ("null", spark.createDataFrame([(True,), (None,)], "ok boolean"))):
+        parts.append(integrity.verdict(f).withColumn("event_type", F.lit(name)))
+    rows = [p.select("event_type", "all_ok", "any_ok") for p in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def _scratch(spark: SparkSession, tag: str) -> str:
-    """A folder for a drill's files: the shared one, or a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    """A folder for a drill's files: the shared one, or a temporary one where none is set and all runs in one process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
+    base = base or "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/plumbline-{tag}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {PREDS} SELECT method, CAST(seed AS BIGINT) AS seed, domain, CAST(count(*) AS BIGINT) AS n, round(avg(y), 5) AS mean_pred FROM preds WHERE method = 'S' AND domain < 'B' GROUP BY ALL")
+@query(f"WITH {PREDS} SELECT method, CAST(seed AS BIGINT) AS seed, domain, CAST(count(*) AS BIGINT) AS n, round(avg(y), 4) AS mean_pred FROM preds GROUP BY ALL")
 def shard_roundtrip(spark, sf_dir):
-    """The shards that the SQL covers, of all that are written, verified and read back."""
-    return shard_roundtrip_all(spark, sf_dir).where("method = 'S' AND domain < 'B'")
-
-
-@query(None)
-def shard_roundtrip_all(spark, sf_dir):
     """Write the shards of all methods, seeds and domains, verify them for reuse, and read them back."""
     shards = store.ShardStore(spark, _scratch(spark, "shards"))
     fp = store.fingerprint({"protocol": "eval-v1"}, {}, horizon=windows.HORIZON)
@@ -500,7 +479,7 @@ def shard_roundtrip_all(spark, sf_dir):
     for m in sorted({m for m, _, _ in written}):
         part = shards.entries(m, sorted({int(s[1:]) for n, _, s in written if n == m}), sorted({d for n, d, _ in written if n == m}))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("method", "seed", "domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.element_at("pred", 1)), 5).alias("mean_pred")).select("method", *long("seed"), "domain", "n", "mean_pred")
+    return rows.groupBy("method", "seed", "domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.element_at("pred", 1)), 4).alias("mean_pred")).select("method", *long("seed"), "domain", "n", "mean_pred")
 
 
 @query("SELECT * FROM (VALUES ('clean', true, 0), ('stale fingerprint', false, 1), ('tampered rows', false, 2), ('duplicate and missing', false, 3), ('wrong scale', false, 4), ('not finite', false, 5), ('regenerated', true, 5)) t(step, reused, quarantined)")
@@ -528,17 +507,10 @@ def quarantine_drill(spark, sf_dir):
     return spark.createDataFrame(out, "step string, reused boolean, quarantined int")
 
 
-@query(f"WITH {POINTS} SELECT var_key, CAST(count(*) AS BIGINT) AS n, round(sum(v), 2) AS total FROM points WHERE i < 120 GROUP BY var_key")
+@query(f"WITH {POINTS} SELECT var_key, CAST(count(*) AS BIGINT) AS n, CAST(round(100 * sum(v)) AS BIGINT) AS cents FROM points GROUP BY var_key")
 def npz_source(spark, sf_dir):
-    """The points that the SQL covers, of whole series written and read."""
-    first = npz_chunks(spark, sf_dir).withColumn("values", F.slice("values", 1, F.greatest(F.lit(0), F.least(F.size("values"), (120 - F.col("chunk") * series.CHUNK).cast("int")))))
-    return first.groupBy("var_key").agg(F.sum(F.size("values")).cast("long").alias("n"), F.round(F.sum(scalar.array_sum(F.col("values"))), 2).alias("total"))
-
-
-@query(None)
-def npz_source_all(spark, sf_dir):
     """Length and sum of every whole series."""
-    return npz_chunks(spark, sf_dir).groupBy("var_key").agg(F.sum("series_len").cast("long").alias("n"), F.round(F.sum(scalar.array_sum(F.col("values"))), 2).alias("total"))
+    return npz_chunks(spark, sf_dir).groupBy("var_key").agg(F.sum("series_len").cast("long").alias("n"), F.round(100 * F.sum(scalar.array_sum(F.col("values")))).cast("long").alias("cents"))
 
 
 def npz_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,15 +522,9 @@ def npz_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.join(npz.ragged_series(spark, folder), ["var_key", "chunk"])
 
 
-@query("""WITH base AS (SELECT *, 'grp' AS g, event_type || '__all__' || strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') AS b, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) AS seen FROM events WHERE event_id < 300)
+@query("""WITH base AS (SELECT *, 'grp' AS g, event_type || '__all__' || strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') AS b, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) AS seen FROM events)
 SELECT event_type || '__all' AS var_key, CASE WHEN seen > 1 THEN b || '__i' || event_id ELSE b END AS sample_id, CAST(event_id AS BIGINT) AS idx, value AS last FROM base""")
 def zip_source(spark, sf_dir):
-    """The rows of ``zip_source_all`` that the SQL covers; all events are written and read."""
-    return zip_source_all(spark, sf_dir).where("idx < 300")
-
-
-@query(None)
-def zip_source_all(spark, sf_dir):
     """All events as ZIPs of JSON files, written by the executors in bounded pieces of one variable and read member by member."""
     rows = files.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("idx"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "value")
     folder = _scratch(spark, "zip")
