@@ -11,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import discard, materialize
 
 
 def _jump(hooks: DataFrame) -> DataFrame:
     """(vertex, root) of the forest (vertex, root): every path is followed to its end."""
+    last = hooks
     while True:
         up = hooks.select(F.col("vertex").alias("via"), F.col("root").alias("up"))
         new = materialize(hooks.join(up, hooks["root"] == up["via"], "left").select("vertex", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "cc_jump")
         moved = new.where("moved").limit(1).count()
-        hooks = new.select("vertex", "root")
+        discard(last)
+        last, hooks = new, new.select("vertex", "root")
         if not moved:
             return hooks
 

@@ -1,8 +1,8 @@
 """SimHash near-duplicates, linked exactly with vantage-point trees over the fingerprints.
 
-Steps: fingerprints of all documents (a scan); equal fingerprints become one node, named by its smallest doc_id; nodes are
+Steps: fingerprints of all documents (a scan); equal fingerprints become one node; nodes are
 dealt to shards by vantage-point routing trees, whose size is bounded by the sample they are built from; each shard is searched
-by a vantage-point self-join, which emits only a spanning forest of its links; components over the forest edges; join back.
+by a vantage-point self-join, which emits only a spanning forest of its links; components over the forest edges, each named by its smallest doc_id; join back.
 
 Routing. The 64 bits are cut into ``blocks``; fingerprints within ``radius`` bits agree wholly in at least
 ``blocks - radius`` blocks. There is a tree for each choice of so many blocks. Its upper levels split by Hamming distance to a
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, ship, utf8
+from plumbline.llm.common import discard, materialize, ship, utf8
 from plumbline.llm.components import components
 
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 5
@@ -186,6 +186,9 @@ def join_within(fps: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: in
             todo += [(x[near], None), (x[far], None), (x[edge_n], x[edge_f])]
         else:
             dy = np.bitwise_count(fps[y] ^ v).astype(np.int64)
+            if dx.min() == dx.max():  # one row, which no cut parts
+                _near(fps, x, y[np.abs(dy - dx[0]) <= radius], radius, links)
+                continue
             yn, yf = y[dy <= cut + radius], y[dy > cut - radius]
             if len(yn) + len(yf) > 1.8 * len(y):
                 _near(fps, x, y, radius, links)
@@ -261,16 +264,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     """(doc_id, fingerprint, component_id, copies) for each row of ``docs`` (doc_id, text).
 
     Defined results: null and wordless texts have fingerprint zero and link to each other like any other; repeated rows and
-    equal texts share a component; rows with a null doc_id are fingerprinted, and joined to the component of their
-    fingerprint if any other row has it (component_id null if none has); an empty table gives an empty result.
+    equal texts share a component; rows with a null doc_id link like any other, and name no component (component_id is null where a
+    component has no other rows); other columns are not looked at; an empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs), "simhash_fps")
     groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count(F.lit(1)).alias("copies")), "simhash_nodes")
-    nodes = groups.where("node IS NOT NULL")
-    edges = materialize(link_edges(nodes, radius, blocks, sample, shard_rows), "simhash_edges")
+    edges = materialize(link_edges(groups.select("fp", F.col("fp").alias("node")), radius, blocks, sample, shard_rows), "simhash_edges")
+    # Fingerprints are the vertices, so that one that only rows without an id hold links others, too; then each component gets its smallest id.
     labels = components(edges)
-    named = groups.join(labels, groups["node"] == labels["vertex"], "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id"))
+    linked = materialize(labels.join(groups, labels["vertex"] == groups["fp"]).select("fp", "node", F.col("component").alias("of")), "simhash_linked")
+    names = linked.groupBy("of").agg(F.min("node").alias("least")).withColumnRenamed("of", "n_of")
+    least = linked.join(names, linked["of"] == names["n_of"]).select(F.col("fp").alias("l_fp"), "least")
+    named = groups.join(least, groups["fp"] == least["l_fp"], "left").select("fp", "copies", F.when(F.col("l_fp").isNull(), F.col("node")).otherwise(F.col("least")).alias("component_id"))
     named = materialize(named, "simhash_named")
+    discard(edges, linked)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 

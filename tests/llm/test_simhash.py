@@ -106,3 +106,23 @@ def test_query_on_whole_table(spark, sf):
     want = {(docs[k][0], f"{fps[k]:016x}", docs[c][0]) for k, c in enumerate(plain_components(fps))}
     got = QUERIES["op2_simhash_near_dedup"](spark, sf).select("doc_id", "fingerprint", F.col("component_id")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(docs)
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 16])
+def test_vantage_join_of_two_sides_ends(leaf):
+    fps = np.array(fixtures(5, 300), dtype=np.uint64)
+    rows = np.arange(len(fps))
+    for cut in (1, 2, 40, 299):
+        links, want = simhash.Links(len(fps)), simhash.Links(len(fps))
+        simhash.join_within(fps, rows[:cut], rows[cut:], 4, links, leaf=leaf)
+        simhash._near(fps, rows[:cut], rows[cut:], 4, want)
+        assert links.find(rows).tolist() == want.find(rows).tolist()
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", "fp"))
+    rows = [(1, 0x00), (None, 0x0F), (2, 0xFF), (None, 0xFFFF00), (None, 0xFFFF01), (3, 1 << 40), (9, 0x00)]
+    docs = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = sorted((r["doc_id"] or 0, r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    want = sorted((i or 0, f"{f:016x}", None if f in (0xFFFF00, 0xFFFF01) else 3 if i == 3 else 1) for i, f in rows)
+    assert got == want
