@@ -272,6 +272,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     edges = materialize(link_edges(groups.select("fp", F.col("fp").alias("node")), radius, blocks, sample, shard_rows), "simhash_edges")
     # Fingerprints are the vertices, so that one that only rows without an id hold links others, too; then each component gets its smallest id.
     labels = components(edges)
+    roots = labels.select(F.col("component").alias("vertex"), "component").distinct()
+    labels = labels.unionByName(roots).distinct()  # a component's own vertex may stand there or not
     linked = materialize(labels.join(groups, labels["vertex"] == groups["fp"]).select("fp", "node", F.col("component").alias("of")), "simhash_linked")
     names = linked.groupBy("of").agg(F.min("node").alias("least")).withColumnRenamed("of", "n_of")
     least = linked.join(names, linked["of"] == names["n_of"]).select(F.col("fp").alias("l_fp"), "least")
