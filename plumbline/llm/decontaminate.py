@@ -1,8 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's windows, scanned over every word of every document.
 
-The benchmark goes to the executors in blocks of at most ``block_bytes`` of text (measured before anything is collected), one
-scan a block, so what is broadcast never outgrows a bound; the benchmark's own size decides only how many scans there are.
-A window's candidate positions come from a rolling polynomial hash over word numbers; each is then verified word by word.
+The benchmark goes to the executors in blocks of about ``block_bytes`` of text (measured before anything is collected), one scan a
+block, each written before the next begins; so a worker holds one block's windows at a time, and the benchmark's own size decides only how
+many scans there are. A window is a hash and a place in its items' words, some 25 bytes, and a word of the benchmark some 150: at the
+default block a few hundred MB at the very most. Candidate positions come from a rolling polynomial hash over word numbers; each is
+then verified word by word.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ship, utf8
+from plumbline.llm.common import materialize, ship, utf8
 
-WINDOW, BLOCK_BYTES = 10, 32 << 20
+WINDOW, BLOCK_BYTES = 10, 8 << 20
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,55 +27,66 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of benchmark items: for each window length, hash -> windows -> items."""
+    """Windows of benchmark items: for each window length, sorted hashes with the windows' places in the items' words."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
         self.names: list[str] = []
-        self.by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        each = []
         for item_id, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text and text.encode())]
-            if not ids:
-                continue
-            n, k = min(window, len(ids)), len(self.names)
-            self.names.append("" if item_id is None else str(item_id))
-            table = self.by_length.setdefault(n, {})
-            for i in range(len(ids) - n + 1):
-                owners = table.setdefault(tuple(ids[i : i + n]), [])
-                if not owners or owners[-1] != k:
-                    owners.append(k)
-        self.hashes = {n: np.unique(self._hash(np.array(list(t), dtype=np.uint64).ravel(), n)[::n]) for n, t in self.by_length.items()}
+            if ids:
+                each.append(np.array(ids, dtype=np.uint32))
+                self.names.append("" if item_id is None else str(item_id))
+        self.ids = np.concatenate(each) if each else np.zeros(0, dtype=np.uint32)
+        length = np.array([len(x) for x in each], dtype=np.int64)
+        self.ends = np.cumsum(length)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(length, window)).tolist():
+            own = np.nonzero(np.minimum(length, window) == n)[0]
+            many = length[own] - n + 1
+            places = np.repeat((self.ends - length)[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            h = self._hash(self.ids, n)[places]
+            order = np.argsort(h, kind="stable")
+            self.by_length[n] = h[order], places[order]
 
     @staticmethod
     def _hash(ids: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
         for j in range(n):
-            out = out * _BASE + ids[j : j + len(out)] * np.uint64(0xC2B2AE3D27D4EB4F)
+            out = out * _BASE + ids[j : j + len(out)].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return out ^ (out >> np.uint64(29))
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans [start, end) of windows that occur in ``words``, in no order, and the items they are from."""
         get = self.vocab.get
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint32, count=len(words))
         if not ids.any():
             return [], set()
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         spans, items = [], set()
-        for n, table in self.by_length.items():
+        for n, (known, places) in self.by_length.items():
             if len(ids) < n:
                 continue
             start = np.nonzero(unknown[n:] == unknown[:-n])[0]
             if not len(start):
                 continue
             h = self._hash(ids, n)[start]
-            known = self.hashes[n]
             at = np.searchsorted(known, h)
             at[at == len(known)] = 0
-            for i in start[known[at] == h].tolist():
-                owners = table.get(tuple(ids[i : i + n].tolist()))  # the exact check
-                if owners is not None:
-                    spans.append((i, i + n))
-                    items.update(owners)
+            hit = known[at] == h
+            if not hit.any():
+                continue
+            # Equal windows of the text, by hash, are looked up once; each candidate is compared word by word.
+            values, first, which = np.unique(h[hit], return_index=True, return_inverse=True)
+            lo, hi = np.searchsorted(known, values), np.searchsorted(known, values, side="right")
+            start, same = start[hit], np.zeros(len(values), dtype=bool)
+            for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
+                own = ids[start[first[k]] : start[first[k]] + n]
+                equal = places[a:b][(self.ids[places[a:b][:, None] + np.arange(n)] == own).all(1)]
+                same[k] = len(equal) > 0
+                items.update(np.searchsorted(self.ends, equal, side="right").tolist())
+            spans += [(i, i + n) for i in start[same[which]].tolist()]
         return spans, items
 
 
@@ -112,7 +125,8 @@ def scan_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes:
             for b in batches:
                 names = b.schema.names
                 cols = {n: b.column(i) for i, n in enumerate(names)}
-                texts, spans, items, counts, whole = utf8(cols["text"]), [], [], [], []
+                text = next(n for n in names if n.lower() == "text")
+                texts, spans, items, counts, whole = utf8(cols[text]), [], [], [], []
                 for t, s, i in zip(texts, cols[_SPANS], cols[_ITEMS]):
                     words = words_of(t)
                     got, owners = windows.find(words)
@@ -124,13 +138,15 @@ def scan_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes:
                     whole.append(cut is not None and bool(got) and sum(y - x for x, y in spans[-1]) >= cut * len(words))
                 if cut is not None and last and any(spans):
                     texts = [remove_spans(t, s) for t, s in zip(texts, spans)]
-                    cols["text"] = pa.array(texts, pa.binary()).cast(cols["text"].type)
+                    cols[text] = pa.array(texts, pa.binary()).cast(cols[text].type)
                 cols[_SPANS] = pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], _SPAN_KIND)
                 cols[_ITEMS] = pa.array(items, pa.list_(pa.string()))
                 cols[_COUNT], cols[_WHOLE] = pa.array(counts, pa.int64()), pa.array(whole, pa.bool_())
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
         out = out.mapInArrow(scan, schema)
+        if k + 1 < blocks:
+            out = materialize(out, "leaks_block")
     return out
 
 
