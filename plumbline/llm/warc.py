@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import FileWriter, materialize, new_dir, open_input, ship
 
 LEAST, FRAME_BYTES, LEVEL = 1000, 1 << 20, 3
+TASK_FRAMES = 32  # frames a task reads back, each of about FRAME_BYTES unpacked
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -174,20 +175,27 @@ def write_bundles(pages: DataFrame, out: str | None = None, least: int = LEAST,
     return folder, materialize(index, "warc_index")
 
 
-def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
+def read_bundles(spark: SparkSession, index: DataFrame, task_frames: int = TASK_FRAMES) -> DataFrame:
     """(record_id, record_type, payload_bytes, payload_digest, refers_to) from the bundles' own bytes; stored payloads are hashed again.
 
-    One task reads a frame at a time; frames are dealt out, not files. An index row that its frame doesn't bear out fails.
+    One task reads a frame at a time, about ``task_frames`` of them, neighbours of a file together, whose seek table is read once. An index
+    row that its frame doesn't bear out fails.
     """
     ship(spark)
     frames = index.groupBy("file", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("offsets"))
-    frames = frames.repartition("file", "frame")
+    # index rows are tiny and frames are not: tasks are counted by frames, and a given number is not merged again
+    tasks = max(1, -(-index.select("file", "frame").distinct().count() // task_frames))
+    frames = frames.repartition(tasks, "file", F.floor(F.col("frame") / task_frames)).sortWithinPartitions("file", "frame")
 
     def scan(batches):
+        bundle, opened = None, None
         for b in batches:
             rows: list[tuple] = []
             for name, frame, n, offsets in zip(*(c.to_pylist() for c in b.columns)):
-                bundle = BundleReader(name)
+                if name != opened:
+                    if bundle:
+                        bundle.close()
+                    bundle, opened = BundleReader(name), name
                 found = total = 0
                 for at, h, block in parse_records(bundle.frame(frame)):
                     found, total = found + 1, total + at
@@ -197,12 +205,13 @@ def read_bundles(spark: SparkSession, index: DataFrame) -> DataFrame:
                         if hashlib.sha1(payload).hexdigest() != digest or len(payload) != size:
                             raise ValueError(f"{name}: {h['WARC-Record-ID']} is damaged")
                     rows.append((h["WARC-Record-ID"][1:-1], h["WARC-Type"], size, digest, h["WARC-Refers-To"][1:-1] if "WARC-Refers-To" in h else None))
-                bundle.close()
                 if (found, total) != (n, offsets):
                     raise ValueError(f"{name}: frame {frame} is not as indexed")
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(cols[4], pa.string())], names=["record_id", "record_type", "payload_bytes", "payload_digest", "refers_to"])
+        if bundle:
+            bundle.close()
 
     return frames.mapInArrow(scan, "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string")
 
