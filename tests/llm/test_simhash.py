@@ -121,7 +121,7 @@ def test_vantage_join_of_two_sides_ends(leaf):
 
 def test_rows_without_an_id_link_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", "fp"))
-    rows = [(1, 0x00), (None, 0x0F), (2, 0xFF), (None, 0xFFFF00), (None, 0xFFFF01), (3, 1 << 40), (9, 0x00)]
+    rows = [(1, 0x00), (None, 0x0F), (2, 0xFF), (None, 0xFFFF00), (None, 0xFFFF01), (3, 0x7777 << 40), (9, 0x00)]
     docs = spark.createDataFrame(rows, "doc_id long, fp long")
     got = sorted((r["doc_id"] or 0, r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
     want = sorted((i or 0, f"{f:016x}", None if f in (0xFFFF00, 0xFFFF01) else 3 if i == 3 else 1) for i, f in rows)
