@@ -142,6 +142,43 @@ def utf8(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def word_groups(column, lower: bool = False, most: int = 4 << 20):
+    """(distinct words, place of each word among them, words a text) of an Arrow column of texts, for slices of about ``most`` bytes; null is empty.
+
+    Words are runs without ASCII white space, as UTF-8; with ``lower``, A-Z are lowered. Splitting and telling words apart is Arrow's, so Python
+    sees each distinct word of a slice once. A text of any length is in one slice.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.cast(pa.string())
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        part = column.slice(at, to - at).fill_null("")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
+        words, cuts = split.flatten(), split.offsets.to_numpy()
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves empty words
+        m = np.add.reduceat(full, cuts[:-1] - cuts[0], dtype=np.int64)
+        told = words.filter(pa.array(full)).dictionary_encode()
+        yield bytes_of(told.dictionary), told.indices.to_numpy(zero_copy_only=False), m
+        at = to
+
+
+def bytes_of(words) -> list[bytes]:
+    """An Arrow array of strings without nulls as a list of bytes."""
+    import numpy as np
+
+    if not len(words):
+        return []
+    _, offsets, data = words.buffers()
+    cuts = np.frombuffer(offsets, dtype=np.int32, count=len(words) + 1, offset=4 * words.offset).tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def below(o, n: int, total: int):
     """Whether a hash is among the smallest share of all hashes that holds some three times ``n`` of ``total`` rows, or all if they are few."""
     from pyspark.sql import functions as F
