@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import FileWriter, materialize, new_dir, open_input, ship, utf8
-from plumbline.llm.tokenize import END_ID, encoder, vocabulary_path
+from plumbline.llm.common import FileWriter, materialize, new_dir, open_input, ship
+from plumbline.llm.tokenize import encoder, vocabulary_path
 
 BLOCK, PERCENTILE = 128, 90
 _MAGIC, _HEAD = b"PFOR", struct.Struct("<4sBI")
@@ -111,11 +111,15 @@ class TokenFileWriter:
         self.out.write(_HEAD.pack(_MAGIC, 1, block))
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.rest.append(ids)
-        self.waiting += len(ids) // 4
-        self.ids += len(ids) // 4
-        self.ends.append(self.ids)
-        self.names.append(doc_id)
+        self.add_many([doc_id], np.frombuffer(ids, dtype="<u4"), np.array([len(ids) // 4]))
+
+    def add_many(self, doc_ids: list[int | None], ids: np.ndarray, n: np.ndarray) -> None:
+        """Ids (uint32) of documents one after the other, ``n`` a document."""
+        self.rest.append(ids.astype("<u4").tobytes())
+        self.waiting += len(ids)
+        self.ends += (self.ids + np.cumsum(n)).tolist()
+        self.ids += len(ids)
+        self.names += doc_ids
         if self.waiting >= 4096 * self.block:
             self._flush(self.waiting - self.waiting % self.block)
 
@@ -188,7 +192,8 @@ def write_token_files(docs: DataFrame, out: str | None = None, vocabulary: str |
     """Encode ``docs`` (doc_id, text) in doc_id order into token files; returns the folder and the manifest.
 
     The manifest has a row a file (file, shard, n_docs, n_tokens).
-    Ids that are equal stand in order of their texts. A null text is empty; a null doc_id stands first.
+    Ids that are equal stand in order of their texts, so repeated rows are one after the other. A null or empty text is its end alone; a null
+    doc_id stands first; an empty table writes no file; a text of any length is encoded whole, in one task; other columns are not looked at.
     The sort is a range partitioning: no task sees more than its share, and a shard that is written twice is the same both times.
     """
     spark: SparkSession = docs.sparkSession
@@ -196,18 +201,19 @@ def write_token_files(docs: DataFrame, out: str | None = None, vocabulary: str |
     folder, path = out or new_dir(spark, "tokens"), vocabulary or vocabulary_path()
     n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def put(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         name = f"{folder}/tokens-{shard:06d}.pfor"
-        to, encode = None, encoder(path).encode
+        to = None
         for b in batches:
-            for i, t in zip(b.column(0), utf8(b.column(1))):
+            names, done = b.column(0).to_pylist(), 0
+            for ids, n in encoder(path).encode_texts(b.column(1)):
                 to = to or TokenFileWriter(name)
-                to.add(i.as_py(), encode(t) + end)
+                to.add_many(names[done : done + len(n)], ids, n)
+                done += len(n)
         if to:
             to.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "shard": shard, "n_docs": len(to.ends), "n_tokens": to.ids}], schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
