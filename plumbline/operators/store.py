@@ -65,6 +65,12 @@ class ShardStore:
             return {}
         return got if isinstance(got, dict) else {}
 
+    def discover(self) -> list[tuple[str, int, str]]:
+        """(method, seed, domain) of every shard below the root that has a manifest, sorted; quarantined ones are not among them."""
+        found = self._fs.globStatus(self._path(f"{self.root}/method=*/seed=*/domain=*/manifest.json")) or []
+        keys = [dict(p.split("=", 1) for p in s.getPath().toString().split("/")[-4:-1]) for s in found]
+        return sorted((k["method"], int(k["seed"]), k["domain"]) for k in keys)
+
     def save(self, method: str, seed: int, domain: str, fingerprint: dict, rows: DataFrame) -> dict:
         """Write one shard; ``rows`` has the columns of SCHEMA."""
         top = self.shard_dir(method, seed, domain)

@@ -3,7 +3,7 @@
     python -m plumbline.plans.evaluate --config protocol.json --dry-run
     python -m plumbline.plans.evaluate --config protocol.json --approve <first 12 hex digits of the config's SHA-256>
 
-Config (JSON): windows and reference (Parquet URIs), out (URI), method, seeds, expect {windows, variables, domains}, files {URI: sha256}.
+Config (JSON): windows and reference (Parquet URIs), reference_method (if it holds several), out (URI), method, seeds, expect {windows, variables, domains}, files {URI: sha256}.
 windows: var_key, sample_id, domain, past, target, d. reference: the same keys with method, seed, pred, target, d.
 Exit codes: 0 done or planned, 1 locked (neither approved nor a dry run), 2 rejected.
 """
@@ -31,7 +31,7 @@ def gate(spark: SparkSession, config: dict) -> list[dict]:
     windows, reference, want = spark.read.parquet(config["windows"]), spark.read.parquet(config["reference"]), config["expect"]
 
     def hashes():
-        got = {uri: hashlib.sha256(files.open_uri(uri).read()).hexdigest() for uri in config.get("files", {})}
+        got = {uri: files.hash_large(uri) for uri in config.get("files", {})}
         bad = sorted(u for u, h in config.get("files", {}).items() if got[u] != h)
         return not bad, bad
 
@@ -53,6 +53,42 @@ def gate(spark: SparkSession, config: dict) -> list[dict]:
     return integrity.run_gate([("files", hashes), ("counts", counts), ("unique keys", unique), ("reference keys", keys), ("finite windows, positive scale", scale)])
 
 
+#: What says where and how often to run, not what a shard holds: shards made before it changed stay good.
+_NOT_IDENTITY = ("seeds", "out")
+
+
+def code_hashes(*functions: Callable) -> dict[str, str]:
+    """MD5 of the sources that make a shard: the package's own modules of forecasts and windows, and the module of each function given."""
+    import inspect
+
+    from plumbline.functions import scalar
+    from plumbline.operators import windows
+
+    found = {}
+    for m in (scalar, forecast, windows, *filter(None, map(inspect.getmodule, functions))):
+        try:
+            found[m.__name__] = hashlib.md5(inspect.getsource(m).encode()).hexdigest()
+        except (OSError, TypeError):  # made in a session: no source to hash
+            found[m.__name__] = "no source"
+    return found
+
+
+def shard_mark(config: dict, predict: Predict, seed: int) -> dict:
+    """The fingerprint of a run's shards of one seed."""
+    return fingerprint({k: v for k, v in config.items() if k not in _NOT_IDENTITY}, code_hashes(predict), method=config["method"], seed=seed)
+
+
+def reference_method(config: dict, reference: DataFrame) -> str:
+    """``reference_method`` of the config; without it, the one method that ``reference`` holds."""
+    methods = sorted(r[0] for r in reference.select("method").distinct().limit(10).collect())
+    named = config.get("reference_method")
+    if named is None and len(methods) != 1:
+        raise integrity.ContractError(f"reference holds the methods {methods}: name one as reference_method")
+    if named is not None and named not in methods:
+        raise integrity.ContractError(f"reference method {named} is not among {methods}")
+    return methods[0] if named is None else named
+
+
 def plan(spark: SparkSession, config: dict) -> dict:
     """What a run would do; no forecast is made."""
     want = config["expect"]
@@ -63,15 +99,18 @@ def run(spark: SparkSession, config: dict, predict: Predict) -> dict:
     """Forecast what no verified shard holds, check coverage and finiteness of all, aggregate and report. Returns the summary."""
     gate(spark, config)
     windows, reference = spark.read.parquet(config["windows"]), spark.read.parquet(config["reference"])
-    method, seeds = config["method"], list(config["seeds"])
+    method, seeds, ref = config["method"], list(config["seeds"]), reference_method(config, reference)
     horizon = windows.select(F.size("target")).first()[0]
     shards = ShardStore(spark, f"{config['out']}/predictions", horizon)
     domains = sorted(r[0] for r in windows.select("domain").distinct().collect())
     for seed in seeds:
-        mark = fingerprint(config, {}, method=method, seed=seed)
+        mark = shard_mark(config, predict, seed)
         todo = [d for d in domains if not shards.reuse(method, seed, d, mark, windows.where(F.col("domain") == d))]
         if todo:  # one job forecasts all missing shards of a seed
             shards.save_all(predict(windows.where(F.col("domain").isin(todo)), seed).withColumns({"method": F.lit(method), "seed": F.lit(seed)}), mark)
+    found = [(s, d) for m, s, d in shards.discover() if m == method and s in seeds and d in domains]
+    if len(found) != len(seeds) * len(domains):
+        raise integrity.ContractError(f"{len(found)} shards of {method}, not {len(seeds) * len(domains)}")
     rows = shards.entries(method, seeds, domains)
     for seed in seeds:
         own = rows.where(F.col("seed") == seed)
@@ -81,15 +120,15 @@ def run(spark: SparkSession, config: dict, predict: Predict) -> dict:
     keys = ["method", "seed", "domain", "var_key", "sample_id", "pred", "target", "d"]
     by_var = metrics.variable_level(metrics.score(rows.select(*keys).unionByName(reference.select(*keys))))
     integrity.merge_checked(by_var, set(domains), config["expect"]["variables"])
-    return write_reports(by_var, config, method)
+    return write_reports(by_var, config, method, ref)
 
 
-def write_reports(by_var: DataFrame, config: dict, method: str) -> dict:
+def write_reports(by_var: DataFrame, config: dict, method: str, ref: str) -> dict:
     by_var = by_var.persist()
     try:
         by_domain = metrics.domain_level(by_var)
         total = metrics.overall_level(by_domain)
-        over, ref = metrics.over_seeds(total), by_var.where(F.col("method") != method).first()["method"]
+        over = metrics.over_seeds(total)
         tables = {
             "overall": (["method", "seed_stat", "MSE", "MAE"], report.overall_rows(over)),
             "domain_summary": (["method", "domain", "seed_stat", "MSE", "MAE"], report.domain_rows(metrics.over_seeds(by_domain, "domain"))),

@@ -66,8 +66,9 @@ def hash_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def hash_large(path: str | Path, kind: str = "sha256", piece: int = 1 << 22) -> str:
+    """Hash of a file of any size behind a path or URI, read in pieces."""
     h = hashlib.new(kind)
-    with open(path, "rb") as f:
+    with open_uri(str(path)) as f:
         while data := f.read(piece):
             h.update(data)
     return h.hexdigest()

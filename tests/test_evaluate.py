@@ -55,6 +55,31 @@ def test_flags_and_run(spark, run_dir, capsys):
     assert len(list((path / "out/predictions/quarantine").iterdir())) == 1
 
 
+def test_a_seed_more_reuses_the_rest_and_changed_code_does_not(spark, run_dir, monkeypatch):
+    path, config = run_dir
+    made = []
+
+    def predict(w, seed):
+        made.append(seed)
+        return evaluate.stand_in(w, seed)
+
+    evaluate.run(spark, config | {"seeds": [1]}, predict)
+    evaluate.run(spark, config | {"seeds": [1, 2]}, predict)
+    assert made == [1, 2] and not (path / "out/predictions/quarantine").exists()
+    assert evaluate.ShardStore(spark, f"{config['out']}/predictions").discover() == [("S", s, d) for s in (1, 2) for d in ("a", "bb")]
+    monkeypatch.setattr(evaluate, "code_hashes", lambda *f: {"forecast": "changed"})
+    evaluate.run(spark, config | {"seeds": [1]}, predict)
+    assert made == [1, 2, 1] and len(list((path / "out/predictions/quarantine").iterdir())) == 2
+
+
+def test_reference_method_is_named(spark):
+    one, two = (spark.createDataFrame([(m,) for m in ms], "method string") for ms in (["A"], ["A", "B"]))
+    assert evaluate.reference_method({}, one) == "A" and evaluate.reference_method({"reference_method": "B"}, two) == "B"
+    for config, rows in (({}, two), ({"reference_method": "C"}, two), ({}, one.limit(0))):
+        with pytest.raises(integrity.ContractError):
+            evaluate.reference_method(config, rows)
+
+
 @pytest.mark.parametrize("change,what", [
     ({"expect": {"windows": 1, "variables": 4, "domains": 2}}, "counts"),
     ({"files": {"FROZEN": "0"}}, "files"),
