@@ -7,6 +7,7 @@ stand-in with three seeds.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -532,6 +533,49 @@ def zip_source(spark, sf_dir):
     return zipjson.samples(spark, folder).select("var_key", "sample_id", *long("idx"), F.element_at("past", -1).alias("last"))
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, sha256(n_name) AS sha256, md5(n_name) AS md5, CAST(octet_length(encode(n_name)) AS BIGINT) AS length FROM nation")
+def file_hashes(spark, sf_dir):
+    """A file for each nation, hashed where it lies by the executors."""
+    folder = _scratch(spark, "hashes")
+    for r in files.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 rows at every scale
+        files.write_bytes(f"{folder}/{r['n_nationkey']}.txt", r["n_name"].encode())
+    got = files.hash_files(spark, folder, "*.txt")
+    return got.select(F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("long").alias("id"), "sha256", "md5", "length")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) / 7 AS score FROM nation WHERE n_regionkey < 3")
+def archived_rows(spark, sf_dir):
+    """A table archived as CSV by the report sink, read back with its schema and a predicate."""
+    folder = _scratch(spark, "archive")
+    rows = [[r["n_nationkey"], r["n_name"], r["n_regionkey"] / 7] for r in files.table(spark, sf_dir, "nation").collect()]
+    report.write_csv(f"{folder}/nation.csv", ["id", "name", "score"], rows)
+    return files.archived_table(spark, f"{folder}/nation.csv", "id long, name string, score double").where(F.col("score") * 7 < 2.5)
+
+
+@query(f"WITH {SPLITS}, fb AS (SELECT var_key, stddev_pop(v) AS x FROM points WHERE i < 96 GROUP BY var_key) SELECT domain, var_key, sample_id, split, CAST(pos AS BIGINT) AS pos, CAST(s AS BIGINT) AS s, round(x, 6) AS fallback_std FROM native JOIN fb USING (var_key)")
+def split_manifest_rows(spark, sf_dir):
+    """The splits of all variables, written as a nested-map JSON manifest and read back; a manifest is one document, as in the frozen protocol."""
+    pts = points(spark, sf_dir)
+    each = splits.native(series.lengths(pts), STRIDE).groupBy("domain", "var_key", "split").agg(F.array_sort(F.collect_list(F.struct("pos", "sample_id", "s"))).alias("rows"))
+    manifest: dict = {}
+    for r in each.join(series.fallback_std(pts), "var_key").collect():
+        own = manifest.setdefault(r["var_key"], {"domain": r["domain"], "fallback_std": r["fallback_std"], "sample_start_idx": {}, "native": {}})
+        own["native"][r["split"]] = [x["sample_id"] for x in r["rows"]]
+        own["sample_start_idx"] |= {x["sample_id"]: x["s"] for x in r["rows"]}
+    path = f"{_scratch(spark, 'manifest')}/splits.json"
+    files.write_bytes(path, json.dumps({"variables": manifest}).encode())
+    variables_, rows = files.split_manifest(spark, path)
+    return rows.join(variables_, "var_key").select("domain", "var_key", "sample_id", "split", *long("pos", "s"), *r6("fallback_std"))
+
+
+@query(f"WITH {LADDER} SELECT method, CAST(seed AS BIGINT) AS seed, CAST(count(*) AS BIGINT) AS n_vars, CAST(count(DISTINCT domain) AS BIGINT) AS n_domains, CAST(sum(n) AS BIGINT) AS n_windows FROM by_var GROUP BY ALL")
+def merged_runs(spark, sf_dir):
+    """Runs of single domains put together: refused unless each run has the same domains and every variable once."""
+    lens = series.lengths(points(spark, sf_dir)).where("n >= 108").select("domain", "var_key").collect()  # a row a variable
+    merged = integrity.merge_checked(variables(spark, sf_dir), {r["domain"] for r in lens}, len(lens))
+    return merged.groupBy("method", "seed").agg(F.count(F.lit(1)).alias("n_vars"), F.countDistinct("domain").alias("n_domains"), F.sum("n").alias("n_windows")).select("method", *long("seed"), "n_vars", "n_domains", "n_windows")
+
+
 @query(None)
 def report_markdown(spark, sf_dir):
     """All report files of a run: (file, bytes > 0, lines)."""
