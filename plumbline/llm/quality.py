@@ -1,6 +1,7 @@
 """Quality rules whose cutoffs are risk-controlled on labelled documents.
 
-Every rule rejects where a measure exceeds a cutoff. Labelled documents are parted by the hash of their id. The design third
+Every rule rejects where a measure exceeds a cutoff. Labelled documents are parted by the hash of their text, and each distinct text
+of a stratum counts once: copies are no independent evidence, and never stand on both sides. The design third
 proposes, for each stratum (language), the rules that find bad documents there and a nested family of cutoffs: at step L a rule
 may reject at most the share L of the good design documents. The holdout tests the family in its fixed order, from the most
 lenient step on: a step is admissible while the exact (Clopper-Pearson) upper bound of its share of rejected good documents, for
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, ship
+from plumbline.llm.common import materialize, scratch_name, ship
 
 BINS = 100
 ALPHA, DELTA, PENALTY = 0.02, 0.05, 4
@@ -62,41 +63,45 @@ def measure(text: str | None) -> tuple[int, ...]:
     return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), dup, repeat, lines, upper, text.count("!") + text.count("?"), top
 
 
-def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """(doc_id, stratum, COUNTS) of each row of ``docs``."""
-    ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")
+def counted(text: Column) -> Column:
+    """struct of the COUNTS of a text."""
 
-    def scan(batches):
-        for b in batches:
-            got = [measure(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[i] for g in got], pa.int64()) for i in range(len(COUNTS)))], names=["doc_id", "stratum", *COUNTS])
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">")
+    def scan(texts: pa.Array) -> pa.Array:
+        got = [measure(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(len(COUNTS))], names=list(COUNTS))
 
-    schema = rows.select("doc_id", "stratum").schema
-    for c in COUNTS:
-        schema = schema.add(c, "long")
-    return rows.mapInArrow(scan, schema)
+    return scan(text)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """(doc_id, stratum, text_hash, COUNTS) of each row of ``docs``."""
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.xxhash64("text").alias("text_hash"), counted(F.col("text")).alias("counts"))
+    return rows.select("doc_id", "stratum", "text_hash", "counts.*")
 
 
-def rules() -> dict[str, Column]:
+def base_failed(at: str = "") -> Column:
+    """``at``: what stands before the COUNTS' names."""
+    return (F.col(f"{at}n_words") < 50) | (100 * F.col(f"{at}n_repeat_words") > 50 * F.col(f"{at}n_words"))
+
+
+def rules(at: str = "") -> dict[str, Column]:
     """Rule -> measure as an integer bin 0 .. BINS; higher is worse."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    c = {name: F.col(f"{at}{name}") for name in COUNTS}
+    words = F.greatest(c["n_words"], F.lit(1))
 
     def share(x: Column, of: Column) -> Column:
         return F.least(F.ceil(BINS * x / F.greatest(of, F.lit(1))), F.lit(BINS)).cast("int")
 
     return {
-        "symbols": share(F.col("n_symbols"), words),
-        "dup_lines": share(F.col("n_dup_lines"), F.col("n_lines")),
-        "repeats": share(F.col("n_repeat_words"), words),
-        "capitals": share(F.col("n_upper"), words),
-        "exclaims": share(F.col("n_bang"), words),
-        "one_word": share(F.col("n_common"), words),
-        "long_words": F.least(F.floor(4 * F.col("word_chars") / words), F.lit(BINS)).cast("int"),
+        "symbols": share(c["n_symbols"], words),
+        "dup_lines": share(c["n_dup_lines"], c["n_lines"]),
+        "repeats": share(c["n_repeat_words"], words),
+        "capitals": share(c["n_upper"], words),
+        "exclaims": share(c["n_bang"], words),
+        "one_word": share(c["n_common"], words),
+        "long_words": F.least(F.floor(4 * c["word_chars"] / words), F.lit(BINS)).cast("int"),
     }
 
 
@@ -175,10 +180,15 @@ def select(tests: dict[str | None, list[tuple[int, int, int]]], strata: int, alp
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str | None, str, int, float]]:
-    """(stratum, rule, cutoff, the stratum's bound) from all labelled rows of ``measured`` that pass the base rules. ``labels``: (doc_id, quality 0 or 1)."""
+    """(stratum, rule, cutoff, the stratum's bound) from all labelled rows of ``measured`` that pass the base rules. ``labels``: (doc_id, quality 0 or 1).
+
+    Of several labels of a document, or of a text in a stratum, the lowest holds.
+    """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumnRenamed("doc_id", "l_id")
     rows = measured.where(~base_failed()).join(known, F.col("doc_id") == F.col("l_id"))
-    rows = materialize(rows.select("stratum", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(DESIGN)) == 0).alias("design"), *[v.alias(k) for k, v in rules().items()]), "quality_labelled")
+    # copies share their measures, so any of them stands for the text
+    texts = rows.select("stratum", "text_hash", "quality", *[v.alias(k) for k, v in rules().items()]).groupBy("stratum", "text_hash").agg(*[F.min(c).alias(c) for c in ("quality", *rules())])
+    rows = materialize(texts.withColumn("design", F.pmod(F.xxhash64("text_hash"), F.lit(DESIGN)) == 0).drop("text_hash"), "quality_labelled")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("bin")) for k in rules()])).alias("m")
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     counts = rows.where("design").select("stratum", "quality", each).groupBy("stratum", "m.rule", "m.bin").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad"))
@@ -210,10 +220,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
-def verdict(cutoffs: list[tuple[str | None, str, int, float]], stratum: Column) -> Column:
+def verdict(cutoffs: list[tuple[str | None, str, int, float]], stratum: Column, at: str = "") -> Column:
     """Array of the rules that reject a row."""
     failed = []
-    for rule, value in rules().items():
+    for rule, value in rules(at).items():
         over = F.lit(False)
         for s, r, cutoff, _ in cutoffs:
             if r == rule:
@@ -223,19 +233,17 @@ def verdict(cutoffs: list[tuple[str | None, str, int, float]], stratum: Column)
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that are kept, whatever their ids and other columns: each row is judged by itself, and nothing is joined back."""
-    cutoffs = calibrate(materialize(measures(docs, stratum), "quality"), labels, alpha, delta)
-    by_stratum: dict[str | None, dict[str, int]] = {}
-    for s, rule, cutoff, _ in cutoffs:
-        by_stratum.setdefault(s, {})[rule] = cutoff
-
-    @F.pandas_udf("boolean")
-    def good(text, lang):
-        import pandas as pd
+    """The rows of ``docs`` that are kept, whatever their ids and other columns: each row is judged by itself, and nothing is joined back.
 
-        return pd.Series([passes(t, by_stratum.get(s, {})) for t, s in zip(text, lang)], dtype=bool)
-
-    return docs.where(good(F.col("text"), F.col(stratum).cast("string")))
+    Texts are measured once; rows are written with their measures, of which the cutoffs and then the verdicts are taken.
+    """
+    ship(docs.sparkSession)
+    counts, digest = scratch_name(docs, "counts"), scratch_name(docs, "text_hash")
+    rows = materialize(docs.withColumns({counts: counted(F.col("text")), digest: F.xxhash64("text")}), "quality")
+    of = F.col(stratum).cast("string")
+    cutoffs = calibrate(rows.select("doc_id", of.alias("stratum"), F.col(digest).alias("text_hash"), f"{counts}.*"), labels, alpha, delta)
+    at = f"{counts}."
+    return rows.where(~base_failed(at) & (F.size(verdict(cutoffs, of, at)) == 0)).drop(counts, digest)
 
 
 def passes(text: str | None, cutoffs: dict[str, int]) -> bool:

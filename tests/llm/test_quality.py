@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import quality
+from plumbline.llm.common import materialize
 
 
 def plain(text):
@@ -95,6 +96,25 @@ def test_rejects_bad_and_keeps_good(spark):
     assert sum(got[k] for k in got if k % 5 == 0) <= 12
 
 
+@pytest.mark.parametrize("distinct", [6, 3000])
+def test_copies_count_once(spark, distinct):
+    """Copies of a few labelled texts promise nothing where as many texts do, and a text with both labels is a bad one."""
+    plain_words, symbols = " ".join(f"word{j}" for j in range(80)), " ".join(f"#{j}" for j in range(60))
+    texts = [f"{k} {plain_words} {symbols if k % 2 else k}" for k in range(distinct)]
+    docs = spark.createDataFrame([(k, texts[k % distinct], "en") for k in range(3000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0 and k != 2), 0) for k in range(3000)], "doc_id long, quality int, toxic int")
+    cutoffs = quality.calibrate(materialize(quality.measures(docs), "t"), labels)
+    assert [r for _, r, _, _ in cutoffs] == ([] if distinct == 6 else ["symbols"])
+    assert quality.keep(docs, labels).count() == (3000 if distinct == 6 else 1500)
+
+
+def test_clashing_columns(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = docs.withColumns({"counts": F.lit("x"), "Text_Hash": F.lit(1), "stratum": F.lit(None), "n_words": F.lit(0), "n_repeat_words": F.lit(9)})
+    got = quality.keep(odd, labels)
+    assert got.columns == odd.columns and {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in quality.keep(docs, labels).collect()}
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, None, "k"), (1, "", "en", "k"), (1, "a " * 30_000, None, None), (2, "é" * 100_000, "xx", "k")], "doc_id long, text string, lang string, kept string")
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0), (1, 5, 0), (2, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
