@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import materialize
+
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKETS = 1024
@@ -45,15 +47,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, buckets: int = BUCKETS, salt: str = "") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, sample_key for each row of ``docs`` (doc_id, text, source)."""
+    """doc_id, source, size, source_size, target, taken, sample_key, text_hash for each row of ``docs`` (doc_id, text, source).
+
+    Words are counted once: a narrow table of sizes and keys is written, and all that follows reads it.
+    """
     text, size = F.coalesce(F.col("text"), F.lit("")), F.col("size")
     point = F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
-    slim = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), ((point + 0.5) / float(16**13)).alias("u"), F.length(text).alias("chars"))
+    slim = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), ((point + 0.5) / float(16**13)).alias("u"), F.length(text).alias("chars"), F.xxhash64("text").alias("text_hash"))
     mean = F.col("chars") / F.greatest(size, F.lit(1)) - 1
     weight = F.when(size > 0, 1 / (1 + F.abs(F.ln(F.greatest(mean, F.lit(0.5)) / 6)))).otherwise(F.lit(0.05))
     slim = slim.withColumn("sample_key", -F.ln("u") / weight)
     # A monotone map of the key to [0, 1) that is near uniform, as most weights are near 0.8.
-    slim = slim.select("doc_id", "source", "size", "sample_key", F.least(F.floor((1 - F.exp(-0.8 * F.col("sample_key"))) * buckets), F.lit(buckets - 1)).cast("int").alias("bucket"))
+    bucket = F.least(F.floor((1 - F.exp(-0.8 * F.col("sample_key"))) * buckets), F.lit(buckets - 1)).cast("int").alias("bucket")
+    slim = materialize(slim.select("doc_id", "source", "size", "sample_key", "text_hash", bucket), "mix_sizes")
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,21 +72,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, buc
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     rows = rows.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("epochs", epochs)
     taken = F.col("epochs") * size + F.greatest(F.lit(0), F.least(size, rest - F.col("ahead")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "sample_key")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "sample_key", "text_hash")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows: each document as often as the mix takes it, a partly taken one if at least half of it is taken.
 
-    Rows find their counts by id, source and size; of rows that agree in these all get the largest count.
+    Rows find their counts by id, source and text (its hash); of rows that agree in these all get the largest count.
     """
     plan = mix(docs, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    plan = plan.select(F.col("doc_id").alias("__pl_id"), F.col("source").alias("__pl_source"), F.col("size").alias("__pl_size"), copies.alias("__pl_copies")).where("__pl_copies > 0")
-    plan = plan.groupBy("__pl_id", "__pl_source", "__pl_size").agg(F.max("__pl_copies").alias("__pl_copies"))
-    size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__pl_id"]) & docs["source"].eqNullSafe(plan["__pl_source"]) & (size == plan["__pl_size"]))
-    return rows.withColumn("__pl_copy", F.explode(F.sequence(F.lit(1), F.col("__pl_copies")))).drop("__pl_id", "__pl_source", "__pl_size", "__pl_copies", "__pl_copy")
+    plan = plan.select(F.col("doc_id").alias("__pl_id"), F.col("source").alias("__pl_source"), F.col("text_hash").alias("__pl_text"), copies.alias("__pl_copies")).where("__pl_copies > 0")
+    plan = plan.groupBy("__pl_id", "__pl_source", "__pl_text").agg(F.max("__pl_copies").alias("__pl_copies"))
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__pl_id"]) & docs["source"].eqNullSafe(plan["__pl_source"]) & (F.xxhash64(docs["text"]) == plan["__pl_text"]))
+    return rows.withColumn("__pl_copy", F.explode(F.sequence(F.lit(1), F.col("__pl_copies")))).drop("__pl_id", "__pl_source", "__pl_text", "__pl_copies", "__pl_copy")
 
 
 ORACLE = """
