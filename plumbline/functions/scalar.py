@@ -126,6 +126,11 @@ def within(a: Column, b: Column, rtol: float = 0.0, atol: float = 0.0) -> Column
     return F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
 
 
+def merge_maps(left: Column, right: Column) -> Column:
+    """All keys of both maps; the right one's value holds where both have a key, even if it is null. Null if either map is."""
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+
+
 def token_prefix(text: Column, n: int = 12) -> Column:
     return F.substring(F.sha2(text, 256), 1, n)
 

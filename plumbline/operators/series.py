@@ -41,15 +41,19 @@ def arrays(pts: DataFrame) -> DataFrame:
     return pts.groupBy("domain", "var_key").agg(F.transform(got, lambda x: x["v"]).alias("values"))
 
 
+def dealt(pts: DataFrame, overlap: int, size: int) -> DataFrame:
+    """``pts`` with its chunk; a point whose position lies in the first ``overlap`` of a chunk is in the chunk before, too."""
+    if overlap > size:
+        raise ValueError("a chunk must be at least as long as the overlap")
+    own = F.floor(F.col("i") / size).cast("int")
+    in_two = (F.col("i") % size < overlap) & (F.col("i") >= size)
+    return pts.withColumn("chunk", F.explode(F.when(in_two, F.array(own - 1, own)).otherwise(F.array(own))))
+
+
 def chunks(pts: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     """(domain, var_key, chunk, values): points size*chunk .. size*(chunk+1)+overlap-1 of each series, as far as they exist.
 
     A point whose position lies in the first ``overlap`` of a chunk stands at the end of the chunk before, too.
     """
-    if overlap > size:
-        raise ValueError("a chunk must be at least as long as the overlap")
-    own = F.floor(F.col("i") / size).cast("int")
-    in_two = (F.col("i") % size < overlap) & (F.col("i") >= size)
-    dealt = pts.withColumn("chunk", F.explode(F.when(in_two, F.array(own - 1, own)).otherwise(F.array(own))))
     got = F.array_sort(F.collect_list(F.struct("i", "v")))
-    return dealt.groupBy("domain", "var_key", "chunk").agg(F.transform(got, lambda x: x["v"]).alias("values"))
+    return dealt(pts, overlap, size).groupBy("domain", "var_key", "chunk").agg(F.transform(got, lambda x: x["v"]).alias("values"))

@@ -42,14 +42,21 @@ def cut_at(pts: DataFrame, starts: DataFrame, context: int = CONTEXT, horizon: i
     return rows.where((F.size("past") == context) & (F.size("target") == horizon)).drop("c_key", "w_chunk", "chunk", "values")
 
 
-def cut_frames(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int = HORIZON) -> DataFrame:
-    """The same windows by row frames: a second way to the same rows, to compare with."""
-    w = Window.partitionBy("var_key").orderBy("i")
-    rows = pts.withColumns({
+def cut_frames(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int = HORIZON, chunk: int = series.CHUNK) -> DataFrame:
+    """The same windows by row frames: a second way to the same rows, to compare with.
+
+    Frames run within a chunk and the points after it that its last windows reach, so no task sorts a series.
+    """
+    overlap = context + horizon - 1
+    size = max(chunk, overlap)
+    dealt = series.dealt(pts, overlap, size)
+    w = Window.partitionBy("var_key", "chunk").orderBy("i")
+    rows = dealt.withColumns({
         "past": F.collect_list("v").over(w.rowsBetween(0, context - 1)),
         "target": F.collect_list("v").over(w.rowsBetween(context, context + horizon - 1)),
     })
-    rows = rows.where((F.col("i") % stride == 0) & (F.size("target") == horizon)).withColumnRenamed("i", "s")
+    own = F.floor(F.col("i") / size) == F.col("chunk")
+    rows = rows.where(own & (F.col("i") % stride == 0) & (F.size("target") == horizon)).withColumnRenamed("i", "s")
     return rows.select("domain", "var_key", _id(), "s", "past", "target")
 
 

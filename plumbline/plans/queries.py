@@ -576,6 +576,109 @@ def merged_runs(spark, sf_dir):
     return merged.groupBy("method", "seed").agg(F.count(F.lit(1)).alias("n_vars"), F.countDistinct("domain").alias("n_domains"), F.sum("n").alias("n_windows")).select("method", *long("seed"), "n_vars", "n_domains", "n_windows")
 
 
+@query("""SELECT o_orderkey, CAST(0 AS BIGINT) AS pos, CAST(o_orderkey AS BIGINT) AS x FROM orders UNION ALL SELECT o_orderkey, CAST(1 AS BIGINT), CAST(o_custkey AS BIGINT) FROM orders""")
+def numeric_lines(spark, sf_dir):
+    """The lines of a command's output that are numbers; a status and a priority between them are none."""
+    o = files.table(spark, sf_dir, "orders")
+    text = F.concat(F.col("o_orderkey").cast("string"), F.lit("\r\n"), "o_orderstatus", F.lit("\n  "), F.col("o_custkey").cast("string"), F.lit(" \n"), "o_orderpriority")
+    return o.select("o_orderkey", F.posexplode(scalar.integers_in(text)).alias("pos", "x")).select("o_orderkey", *long("pos"), "x")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, substr(sha256(c_name), 1, 12) AS prefix FROM customer")
+def token_prefixes(spark, sf_dir):
+    return files.table(spark, sf_dir, "customer").select(*[F.col("c_custkey").cast("long").alias("id")], scalar.token_prefix(F.col("c_name")).alias("prefix"))
+
+
+@query("""SELECT l_returnflag, CAST(count(*) FILTER (abs(l_extendedprice - x) <= 1e-6) AS BIGINT) AS absolute, CAST(count(*) FILTER (abs(l_extendedprice - x) <= 1e-9 * abs(x)) AS BIGINT) AS relative, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT *, l_extendedprice * (1 + l_linenumber * 2.5e-10) AS x FROM lineitem) GROUP BY l_returnflag""")
+def tolerances(spark, sf_dir):
+    l = files.table(spark, sf_dir, "lineitem")
+    a, x = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 + F.col("l_linenumber") * 2.5e-10)
+    return l.groupBy("l_returnflag").agg(F.count_if(scalar.within(a, x, atol=1e-6)).alias("absolute"), F.count_if(scalar.within(a, x, rtol=1e-9)).alias("relative"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH a AS (SELECT s_nationkey AS k FROM supplier) SELECT 'permuted' AS name, true AS same UNION ALL SELECT 'doubled', (SELECT count(*) FROM a) = 0
+UNION ALL SELECT 'one side less', NOT EXISTS (SELECT * FROM a EXCEPT ALL SELECT * FROM a WHERE k <> 3)""")
+def set_equality(spark, sf_dir):
+    """Equality as multisets: order makes no difference, multiplicity does."""
+    a = files.table(spark, sf_dir, "supplier").select("s_nationkey")
+    others = [("permuted", a.orderBy(F.col("s_nationkey").desc())), ("doubled", a.unionAll(a)), ("one side less", a.where("s_nationkey <> 3"))]
+    return spark.createDataFrame([(name, integrity.same_rows(a, b)) for name, b in others], "name string, same boolean")
+
+
+@query("SELECT o_orderstatus AS method, CAST(0 AS BIGINT) AS seed, CAST(o_custkey AS VARCHAR) AS var_key, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_domains FROM orders GROUP BY o_orderstatus, o_custkey HAVING count(*) > 1")
+def duplicate_variables(spark, sf_dir):
+    """Variables that several domain runs bring, here customers whose orders differ in priority: a merge must refuse them."""
+    o = files.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("method"), F.lit(0).cast("long").alias("seed"), F.col("o_custkey").cast("string").alias("var_key"), F.col("o_orderpriority").alias("domain"))
+    return integrity.unique_domain(o)
+
+
+@query("""SELECT '/' || r_name || '/nations/' || (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1) || '/key' AS path, CAST(n_nationkey AS DOUBLE) AS value FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT '/' || r_name || '/key', CAST(r_regionkey AS DOUBLE) FROM region""")
+def nested_numbers(spark, sf_dir):
+    """Every number of a nested result, with its path; names and flags are none."""
+    tree = {r["r_name"]: {"key": r["r_regionkey"], "id": r["r_regionkey"], "nations": [], "last": True} for r in files.table(spark, sf_dir, "region").collect()}
+    for r in files.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        region = next(x for x in tree.values() if x["id"] == r["n_regionkey"])
+        region["nations"].append({"key": r["n_nationkey"], "name": r["n_name"]})
+    return files.flatten_numbers(spark, {k: {n: x for n, x in v.items() if n != "id"} for k, v in tree.items()})
+
+
+@query(f"WITH {WINDOWS} SELECT domain, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS same_length, CAST(count(*) AS BIGINT) AS same_mean, true AS some_changed, true AS some_left FROM scaled GROUP BY domain")
+def frequency_mask(spark, sf_dir):
+    """Augmented windows keep their length and their mean; some change and some stay."""
+    w = wins(spark, sf_dir).withColumn("before", F.concat("past", "target"))
+    rows = forecast.frequency_mask(w, 7).withColumn("after", F.concat("past", "target"))
+    mean = lambda c: scalar.array_mean(F.col(c))
+    changed = F.exists(F.zip_with("before", "after", lambda x, y: F.abs(x - y)), lambda x: x > 1e-6)
+    return rows.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((F.size("past") == windows.CONTEXT) & (F.size("target") == windows.HORIZON)).alias("same_length"),
+        F.count_if(scalar.within(mean("after"), mean("before"), rtol=1e-9)).alias("same_mean"),
+        F.bool_or(changed).alias("some_changed"),
+        F.bool_or(~changed).alias("some_left"),
+    )
+
+
+@query("""SELECT name, CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS total FROM (SELECT 'constant' AS name, 3.5 AS v FROM range(0, 96) t(i) UNION ALL SELECT 'ramp', i * 0.5 FROM range(0, 96) t(i)
+UNION ALL SELECT 'sine', sin(i / 6.0) FROM range(0, 96) t(i) UNION ALL (SELECT 'noise', c_acctbal FROM customer ORDER BY c_custkey LIMIT 96)) GROUP BY name""")
+def synthetic_series(spark, sf_dir):
+    """The generator's four windows, its noise given as literals."""
+    noise = [float(r[0]) for r in files.table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_acctbal").limit(96).collect()]  # one window's length
+    rows = files.synthetic_windows(spark, noise)
+    return rows.select("name", F.size("past").cast("long").alias("n"), F.round(scalar.array_sum(F.col("past")), 6).alias("total"))
+
+
+@query("SELECT 'src/' || n_nationkey || '.py' AS path, md5(n_name) AS md5 FROM nation")
+def code_hashes(spark, sf_dir):
+    """Hashes of code below a folder: other suffixes and output folders are left out."""
+    folder = f"{_scratch(spark, 'code')}/project"
+    for r in files.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 rows at every scale
+        for path in (f"src/{r['n_nationkey']}.py", f"results/{r['n_nationkey']}.py", f"src/{r['n_nationkey']}.txt"):
+            files.write_bytes(f"{folder}/{path}", r["n_name"].encode())
+    return files.code_fingerprint(spark, folder)
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, unnest(['left', 'name', 'region']) AS key, unnest(['1', CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END, CAST(n_regionkey AS VARCHAR)]) AS value FROM nation""")
+def merged_maps(spark, sf_dir):
+    """Of two maps with a key in common the right one's value holds, a null too."""
+    n = files.table(spark, sf_dir, "nation")
+    left = F.create_map(F.lit("left"), F.lit("1"), F.lit("name"), F.lit("old"))
+    right = F.create_map(F.lit("name"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")), F.lit("region"), F.col("n_regionkey").cast("string"))
+    return n.select(F.col("n_nationkey").cast("long").alias("id"), F.explode(scalar.merge_maps(left, right)))
+
+
+@query(f"""WITH {LADDER}, st AS (SELECT method, avg(mse) AS m, stddev_samp(mse) AS ms, avg(mae) AS a, stddev_samp(mae) AS sa, count(*) AS n FROM overall GROUP BY method)
+SELECT method, CASE WHEN n = 1 THEN 'single' ELSE 'mean+-std over ' || n || ' seeds' END AS seed_stat, printf('%.6f', m) || CASE WHEN n = 1 THEN '' ELSE '+/-' || printf('%.6f', ms) END AS mse,
+printf('%.6f', a) || CASE WHEN n = 1 THEN '' ELSE '+/-' || printf('%.6f', sa) END AS mae FROM st""")
+def report_overall(spark, sf_dir):
+    """The report's overall table, written as CSV and read back."""
+    total = metrics.overall_level(metrics.domain_level(variables(spark, sf_dir)))
+    path = f"{_scratch(spark, 'overall')}/overall.csv"
+    report.write_csv(path, ["method", "seed_stat", "mse", "mae"], report.overall_rows(metrics.over_seeds(total)))
+    return files.archived_table(spark, path, "method string, seed_stat string, mse string, mae string")
+
+
 @query(None)
 def report_markdown(spark, sf_dir):
     """All report files of a run: (file, bytes > 0, lines)."""
