@@ -126,6 +126,13 @@ def open_input(uri: str):
     return fs.open_input_file(path)
 
 
+def schema_with(df: DataFrame, more: str):
+    """The schema of ``df`` with the columns of a DDL string behind."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def scratch_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have."""
     have, name, k = {c.lower() for c in df.columns}, stem, 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id, lm, mixing, quality, runs, simhash, substrings, token_counts, token_files, toxicity, warc
+from plumbline.llm import decontaminate, language_id, lm, mixing, quality, runs, search, simhash, substrings, token_counts, token_files, toxicity, warc
 from plumbline.llm.common import read
 
 
@@ -55,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "flagged")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("item_id", "rank", F.col("doc_id").cast("long").alias("doc_id"), "score")
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,6 +68,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.detect(read(spark, sf_dir, "documents"), plant=True)
 
 
-_ALL = (op1_token_counts, op2_simhash_near_dedup, op3_quality_rules, op4_token_files, op5_mix_sources, op6_warc, op7_decontaminate, op8_language_id, op9_lm_scores, op10_toxicity, op12_substring_dedup, op13_periodic_runs)
+_ALL = (op1_token_counts, op2_simhash_near_dedup, op3_quality_rules, op4_token_files, op5_mix_sources, op6_warc, op7_decontaminate, op8_language_id, op9_lm_scores, op10_toxicity, op11_ranked_search, op12_substring_dedup, op13_periodic_runs)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op5_mix_sources": mixing.ORACLE, "op6_warc": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op5_mix_sources": mixing.ORACLE, "op6_warc": warc.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op11_ranked_search": search.ORACLE}

@@ -20,9 +20,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from plumbline.llm.common import materialize, ship, utf8
+from plumbline.llm.common import materialize, schema_with, ship, utf8
 from plumbline.llm.suffix import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 32
@@ -108,10 +107,6 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _with(df: DataFrame, more: str) -> StructType:
-    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
-
-
 _FOUND = "h long, c long, spans array<struct<a:int,b:int>>, bucket int, run binary"
 
 
@@ -178,7 +173,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spread: int
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), size, pieces], names=["doc_id", "k", "l", "size", "pieces"])
 
-    schema = _with(keyed.select("doc_id", "k", "l"), "size int, pieces array<struct<lo:int,many:int,h:bigint,c:bigint,twice:boolean>>")
+    schema = schema_with(keyed.select("doc_id", "k", "l"), "size int, pieces array<struct<lo:int,many:int,h:bigint,c:bigint,twice:boolean>>")
     each = keyed.mapInArrow(name, schema)
     texts = materialize(each.groupBy("k", "l").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("doc_id", "size", "pieces")).alias("x")).select("k", "l", "copies", "x.*"), "substr_texts")
     pieces = texts.select("k", "l", "doc_id", F.explode("pieces").alias("p")).select("k", "l", "doc_id", "p.*")
@@ -279,5 +274,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options: int) -> Dat
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    schema = _with(rows.select("doc_id"), "n_bytes long, n_removed long, spans array<struct<a:int,b:int>>, kept binary")
+    schema = schema_with(rows.select("doc_id"), "n_bytes long, n_removed long, spans array<struct<a:int,b:int>>, kept binary")
     return rows.mapInArrow(clean, schema)
