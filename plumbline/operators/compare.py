@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.exact import exact_avg
 from plumbline.functions.scalar import relative_improvement
 from plumbline.operators.metrics import melt
 
 
 def improvement_counts(level: DataFrame, key: str, reference: str, metrics: tuple[str, ...] = ("mse", "mae")) -> DataFrame:
     """(method, metric, improved, degraded, equal, total): seeds are averaged first, then each key is compared with the reference method."""
-    means = melt(level, key, metrics=metrics).groupBy("method", key, "metric").agg(F.avg("value").alias("value"))
+    means = melt(level, key, metrics=metrics).groupBy("method", key, "metric").agg(exact_avg("value").alias("value"))
     # the reference's value reaches the others of its key by a window: the ladder below is computed once, not once a side
     ref = F.max(F.when(F.col("method") == reference, F.col("value"))).over(Window.partitionBy(key, "metric"))
     both = means.withColumn("ref", ref).where((F.col("method") != reference) & F.col("ref").isNotNull())
@@ -25,7 +26,7 @@ def improvement_counts(level: DataFrame, key: str, reference: str, metrics: tupl
 
 def comparisons(overall: DataFrame, pairs: list[tuple[str, str]], metrics: tuple[str, ...] = ("mse", "mae")) -> DataFrame:
     """(comparison, metric, delta, relative_improvement in percent) of named pairs; the ratio is null against 0."""
-    means = melt(overall, metrics=metrics).groupBy("method", "metric").agg(F.avg("value").alias("value"))
+    means = melt(overall, metrics=metrics).groupBy("method", "metric").agg(exact_avg("value").alias("value"))
     named = overall.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
     a = means.select(F.col("method").alias("a"), "metric", F.col("value").alias("va"))
     b = means.select(F.col("method").alias("b"), "metric", F.col("value").alias("vb"))
@@ -45,8 +46,8 @@ def with_fallback(by_domain: DataFrame, selection: DataFrame, reference: str) ->
         rows = rows.withColumn(f"x_{m}", F.when(F.col("fallback"), F.col(f"r_{m}")).otherwise(F.col(m)))
     whole = F.count_if(F.col("x_mse").isNull()) == 0
     return rows.groupBy("method", "seed").agg(
-        F.when(whole, F.avg("x_mse")).alias("overall_mse"),
-        F.when(whole, F.avg("x_mae")).alias("overall_mae"),
+        F.when(whole, exact_avg("x_mse")).alias("overall_mse"),
+        F.when(whole, exact_avg("x_mae")).alias("overall_mae"),
         F.count_if(F.col("fallback")).alias("n_fallback"),
         F.count(F.lit(1)).alias("n_domains"),
     )

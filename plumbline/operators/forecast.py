@@ -13,19 +13,24 @@ from plumbline.functions.scalar import array_mean, derive_seed
 from plumbline.operators.windows import HORIZON
 
 
+def _last(wins: DataFrame):
+    """The context's last value: of ``past``, or as summaries have it."""
+    return F.element_at("past", -1) if "past" in wins.columns else F.col("last")
+
+
 def last_value(wins: DataFrame, horizon: int = HORIZON, method: str = "N0") -> DataFrame:
-    return wins.withColumns({"method": F.lit(method), "seed": F.lit(0), "pred": F.array_repeat(F.element_at("past", -1), horizon)})
+    return wins.withColumns({"method": F.lit(method), "seed": F.lit(0), "pred": F.array_repeat(_last(wins), horizon)})
 
 
 def past_mean(wins: DataFrame, horizon: int = HORIZON, method: str = "M") -> DataFrame:
-    return wins.withColumns({"method": F.lit(method), "seed": F.lit(0), "pred": F.array_repeat(array_mean(F.col("past")), horizon)})
+    return wins.withColumns({"method": F.lit(method), "seed": F.lit(0), "pred": F.array_repeat(array_mean(F.col("past")) if "past" in wins.columns else F.col("mean"), horizon)})
 
 
 def seeded(wins: DataFrame, seeds: tuple[int, ...], horizon: int = HORIZON, method: str = "S", amplitude: float = 0.1) -> DataFrame:
     """A deterministic stand-in for a sampling model, for tests: last value plus seeded noise in units of d."""
     rows = wins.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     w = derive_seed(F.col("seed"), F.col("var_key"), F.col("sample_id"))
-    value = F.element_at("past", -1) + amplitude * F.col("d") * (w / 2147483646.0 - 0.5)
+    value = _last(wins) + amplitude * F.col("d") * (w / 2147483646.0 - 0.5)
     return rows.withColumns({"method": F.lit(method), "pred": F.array_repeat(value, horizon)})
 
 

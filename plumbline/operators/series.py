@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalar import EPS, scale_or_fallback, var_key
+from plumbline.functions.scalar import EPS, array_pstd, scale_or_fallback, var_key
 
 CHUNK = 2048
 
@@ -30,8 +30,9 @@ def lengths(pts: DataFrame) -> DataFrame:
 
 
 def fallback_std(pts: DataFrame, first: int = 96, eps: float = EPS) -> DataFrame:
-    """(var_key, fallback_std): population standard deviation of a series' first points, 1 where that is too small."""
-    s = pts.where(F.col("i") < first).groupBy("var_key").agg(F.stddev_pop("v").alias("s"))
+    """(var_key, fallback_std): population standard deviation of a series' ``first`` points, 1 where that is too small. Summed in their order."""
+    got = pts.where((F.col("i") < first) & F.col("v").isNotNull()).groupBy("var_key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
+    s = got.select("var_key", array_pstd(F.transform("x", lambda x: x["v"])).alias("s"))
     return s.select("var_key", scale_or_fallback(F.col("s"), F.lit(1.0), eps).alias("fallback_std"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalar import window_scale
+from plumbline.functions.scalar import scale_or_fallback, window_scale
 from plumbline.operators import series
 
 CONTEXT, HORIZON = 96, 12
@@ -30,6 +30,35 @@ def cut(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int = HORI
     return rows.select("domain", "var_key", F.col("w.s").alias("s"), F.col("w.past").alias("past"), F.col("w.target").alias("target")).select("domain", "var_key", _id(), "s", "past", "target")
 
 
+def summaries(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int = HORIZON, chunk: int = series.CHUNK) -> DataFrame:
+    """(domain, var_key, sample_id, s, last, mean, std, target) of the windows of ``cut``, without their contexts.
+
+    Points are laid in blocks as long as a context. A context is the rest of one block and the beginning of the next; the moments of both come from
+    running means and variances, forwards and backwards within a block, and are merged. So a window costs a few values whatever
+    its length, and as nothing is subtracted from running sums, a small deviation beside large values stays exact. A context
+    with a null or NaN has NaN for mean and std.
+    """
+    span = context + horizon
+    size = max(-(-chunk // stride) * stride, -(-span // stride) * stride)
+    rows = series.dealt(pts, span - 1, size).withColumns({"block": F.floor(F.col("i") / context), "x": F.coalesce("v", F.lit(float("nan")))})
+    whole = Window.partitionBy("var_key", "chunk").orderBy("i")
+    of_block = Window.partitionBy("var_key", "chunk", "block")
+    up, down = (of_block.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("i").asc(), F.col("i").desc()))
+    rows = rows.withColumns({"rest_m": F.avg("x").over(down), "rest_v": F.var_pop("x").over(down)}).withColumns({"m": F.avg("x").over(up), "var": F.var_pop("x").over(up)})
+    ahead = lambda c, k: F.lead(c, k).over(whole)
+    rows = rows.withColumns({"next_m": ahead("m", context - 1), "next_v": ahead("var", context - 1), "last": ahead("v", context - 1), "end": ahead("i", span - 1), "target": F.array(*[ahead("v", context + h) for h in range(horizon)])})
+    rows = rows.where((F.floor(F.col("i") / size) == F.col("chunk")) & (F.col("i") % stride == 0) & F.col("end").isNotNull())
+    n, after = F.lit(float(context)), (F.col("i") % context).cast("double")
+    ahead_of = n - after
+    gap = F.col("next_m") - F.col("rest_m")
+    moment = ahead_of * F.col("rest_v") + after * F.col("next_v") + gap * gap * ahead_of * after / n
+    alone = F.col("i") % context == 0
+    mean = F.when(alone, F.col("rest_m")).otherwise(F.col("rest_m") + gap * after / n)
+    std = F.sqrt(F.when(alone, F.col("rest_v")).otherwise(moment / n))
+    rows = rows.select("domain", "var_key", F.col("i").alias("s"), "last", mean.alias("mean"), std.alias("std"), "target")
+    return rows.select("domain", "var_key", _id(), "s", "last", "mean", "std", "target")
+
+
 def cut_at(pts: DataFrame, starts: DataFrame, context: int = CONTEXT, horizon: int = HORIZON, chunk: int = series.CHUNK) -> DataFrame:
     """Windows at given ``starts`` (var_key, s, ...): an equi-join with the chunk that holds the start. Windows that would be cut short are left out."""
     span = context + horizon
@@ -61,8 +90,9 @@ def cut_frames(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int
 
 
 def with_scale(wins: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Adds d, the scoring scale: the context's standard deviation or else the series' fallback (var_key, fallback_std)."""
-    return wins.join(fallback, "var_key", "left").withColumn("d", window_scale(F.col("past"), F.col("fallback_std"))).drop("fallback_std")
+    """Adds d, the scoring scale: the deviation of the context (``past``, or ``std`` of summaries) or else the series' fallback (var_key, fallback_std)."""
+    own = window_scale(F.col("past"), F.col("fallback_std")) if "past" in wins.columns else scale_or_fallback(F.col("std"), F.col("fallback_std"))
+    return wins.join(fallback, "var_key", "left").withColumn("d", own).drop("fallback_std")
 
 
 def long_form(wins: DataFrame) -> DataFrame:

@@ -34,10 +34,14 @@ def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.with_scale(windows.cut(pts, STRIDE), series.fallback_std(pts))
 
 
+def slim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with their scale but without their contexts: last, mean, std and target."""
+    pts = points(spark, sf_dir)
+    return windows.with_scale(windows.summaries(pts, STRIDE), series.fallback_std(pts))
+
+
 def predictions(w: DataFrame) -> DataFrame:
-    """All methods' predictions of each window: windows are cut once and each is given its methods in place."""
-    # the context is folded to what the methods need before a row is copied for each of them
-    w = w.withColumns({"last": F.element_at("past", -1), "mean": scalar.array_mean(F.col("past"))}).drop("past")
+    """All methods' predictions of each window (as ``slim`` has them): each is given its methods in place."""
     rows = w.withColumn("r", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("seed")) for m, s in [("N0", 0), ("M", 0), *[("S", s) for s in SEEDS]]])))
     rows = rows.withColumns({"method": F.col("r.method"), "seed": F.col("r.seed")}).drop("r")
     noise = 0.1 * F.col("d") * (scalar.derive_seed(F.col("seed"), F.col("var_key"), F.col("sample_id")) / 2147483646.0 - 0.5)
@@ -46,7 +50,7 @@ def predictions(w: DataFrame) -> DataFrame:
 
 
 def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.variable_level(metrics.score(predictions(wins(spark, sf_dir))))
+    return metrics.variable_level(metrics.score(predictions(slim(spark, sf_dir))))
 
 
 # Raw errors are compared in units of 1e6 and 7e3: prices have two decimals, whose means would often stand between two rounded values.
@@ -178,7 +182,7 @@ def sample_ids(spark, sf_dir):
 
 @query(f"WITH {WINDOWS} SELECT domain, var_key, sample_id, round(d, 6) AS d FROM scaled")
 def window_d(spark, sf_dir):
-    return wins(spark, sf_dir).select("domain", "var_key", "sample_id", *r6("d"))
+    return slim(spark, sf_dir).select("domain", "var_key", "sample_id", *r6("d"))
 
 
 @query("SELECT * FROM (VALUES ('constant', 99.0::DOUBLE), ('nan', 7.0::DOUBLE), ('ramp', 1.118033988749895::DOUBLE), ('edge', 1e-8::DOUBLE), ('below', 3.0::DOUBLE)) t(name, d)")
@@ -203,7 +207,7 @@ def forecast_last(spark, sf_dir):
 
 @query(f"WITH {PREDS} SELECT CAST(seed AS BIGINT) AS seed, sample_id, round(y, 6) AS y FROM preds WHERE method = 'S'")
 def forecast_seeded(spark, sf_dir):
-    rows = forecast.seeded(wins(spark, sf_dir), SEEDS)
+    rows = forecast.seeded(slim(spark, sf_dir), SEEDS)
     return rows.select(*long("seed"), "sample_id", F.round(F.element_at("pred", 12), 6).alias("y"))
 
 
@@ -236,7 +240,7 @@ def revin_roundtrip(spark, sf_dir):
 
 @query(f"WITH {LADDER} SELECT sample_id, round(mse, 6) AS mse, round(mae, 6) AS mae, round(raw_mse / 1e6, 6) AS raw_mse, round(raw_mae / 7e3, 7) AS raw_mae FROM scored WHERE method = 'N0'")
 def window_metrics(spark, sf_dir):
-    rows = metrics.score(forecast.last_value(wins(spark, sf_dir)))
+    rows = metrics.score(forecast.last_value(slim(spark, sf_dir)))
     return rows.select("sample_id", *r6("mse", "mae"), F.round(F.col("raw_mse") / 1e6, 6).alias("raw_mse"), F.round(F.col("raw_mae") / 7e3, 7).alias("raw_mae"))
 
 
@@ -259,10 +263,35 @@ def domain_summary(spark, sf_dir):
 
 @query(f"WITH {LADDER} SELECT method, CAST(n_domains AS BIGINT) AS n_domains, {', '.join(_M)} FROM overall WHERE method = 'N0'")
 def overall(spark, sf_dir):
-    by_var = metrics.variable_level(metrics.score(forecast.last_value(wins(spark, sf_dir))))
+    by_var = metrics.variable_level(metrics.score(forecast.last_value(slim(spark, sf_dir))))
     return metrics.overall_level(metrics.domain_level(by_var)).select("method", "n_domains", *_m())
 
 
+_CELLS = " UNION ALL ".join(f"SELECT '{name}' AS level, CAST(4 * count(*) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS unequal FROM {level}" for name, level in (("variable", "by_var"), ("domain", "by_domain"), ("overall", "overall")))
+
+
+@query(f"WITH {LADDER} {_CELLS}")
+def ladder_bit_equal(spark, sf_dir):
+    """The whole ladder of all methods on three layouts of the same scored windows: no cell may differ in a bit."""
+    folder = _scratch(spark, "scored")
+    metrics.score(predictions(slim(spark, sf_dir))).write.parquet(folder)  # scored once, dealt three ways
+    return metrics.bit_equal(spark.read.parquet(folder))
+
+
+@query(f"WITH {WINDOWS} SELECT domain, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS same FROM starts GROUP BY domain")
+def window_moments(spark, sf_dir):
+    """Last value, mean, deviation and target of every window, merged from running moments, against folds over its own values."""
+    pts = points(spark, sf_dir)
+    whole = windows.cut(pts, STRIDE).select("sample_id", F.col("target").alias("t"), F.element_at("past", -1).alias("l"), scalar.array_mean(F.col("past")).alias("m"), scalar.array_pstd(F.col("past")).alias("sd"))
+    rows = windows.summaries(pts, STRIDE).join(whole, "sample_id")
+    same = (F.col("target") == F.col("t")) & (F.col("last") == F.col("l")) & scalar.within(F.col("mean"), F.col("m"), rtol=1e-12) & scalar.within(F.col("std"), F.col("sd"), rtol=1e-12)
+    return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same"))
+
+
+#: Queries that need no context: their plans carry no slice of it.
+QUERIES_OF_WINDOWS = (window_d, window_metrics, overall, variable_level)
+
+
 def _seed_sql(level: str, keys: str) -> str:
     stats = ", ".join(f"round(avg({m}){s}, 6) AS {m}_mean, round(stddev_samp({m}){s}, 6) AS {m}_std" for m, s in (("mse", ""), ("mae", ""), ("raw_mse", " / 1e6"), ("raw_mae", " / 7e3")))
     return f"WITH {LADDER} SELECT method, {keys}{stats}, CAST(count(*) AS BIGINT) AS n_seeds FROM {level} GROUP BY ALL"
@@ -336,7 +365,7 @@ def best_epoch(spark, sf_dir):
 
 def faulty(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Entries with planted faults, and what is expected of them."""
-    w = wins(spark, sf_dir).select("var_key", "sample_id", "s", "target", "d")
+    w = slim(spark, sf_dir).select("var_key", "sample_id", "s", "target", "d")
     entries = w.where("s % 40 <> 0").withColumn("sample_id", F.when(F.col("s") % 44 == 4, F.concat("sample_id", F.lit("x"))).otherwise(F.col("sample_id")))
     entries = entries.withColumn("d", F.when(F.col("s") % 52 == 8, F.col("d") * (1 + 1e-12)).otherwise(F.col("d")))
     entries = entries.unionByName(entries.where("s % 60 = 24"))
@@ -473,7 +502,7 @@ def shard_roundtrip(spark, sf_dir):
     """Write the shards of all methods, seeds and domains, verify them for reuse, and read them back."""
     shards = store.ShardStore(spark, _scratch(spark, "shards"))
     fp = store.fingerprint({"protocol": "eval-v1"}, {}, horizon=windows.HORIZON)
-    written = sorted({tuple(w["shard"].split("__")) for w in shards.save_all(predictions(wins(spark, sf_dir)), fp)})
+    written = sorted({tuple(w["shard"].split("__")) for w in shards.save_all(predictions(slim(spark, sf_dir)), fp)})
     if not all(shards.reuse(m, int(s[1:]), d, fp) for m, d, s in written):
         raise integrity.ContractError("a fresh shard was rejected")
     rows = None
