@@ -103,11 +103,12 @@ def run(spark: SparkSession, config: dict, predict: Predict) -> dict:
     horizon = windows.select(F.size("target")).first()[0]
     shards = ShardStore(spark, f"{config['out']}/predictions", horizon)
     domains = sorted(r[0] for r in windows.select("domain").distinct().collect())
+    marks = {seed: shard_mark(config, predict, seed) for seed in seeds}
+    good = shards.reuse_all(marks, windows, by_seed=True, method=method)  # one job for all shards
     for seed in seeds:
-        mark = shard_mark(config, predict, seed)
-        todo = [d for d in domains if not shards.reuse(method, seed, d, mark, windows.where(F.col("domain") == d))]
+        todo = [d for d in domains if (method, seed, d) not in good]
         if todo:  # one job forecasts all missing shards of a seed
-            shards.save_all(predict(windows.where(F.col("domain").isin(todo)), seed).withColumns({"method": F.lit(method), "seed": F.lit(seed)}), mark)
+            shards.save_all(predict(windows.where(F.col("domain").isin(todo)), seed).withColumns({"method": F.lit(method), "seed": F.lit(seed)}), marks[seed])
     found = [(s, d) for m, s, d in shards.discover() if m == method and s in seeds and d in domains]
     if len(found) != len(seeds) * len(domains):
         raise integrity.ContractError(f"{len(found)} shards of {method}, not {len(seeds) * len(domains)}")

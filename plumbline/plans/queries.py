@@ -499,11 +499,11 @@ def _scratch(spark: SparkSession, tag: str) -> str:
 
 @query(f"WITH {PREDS} SELECT method, CAST(seed AS BIGINT) AS seed, domain, CAST(count(*) AS BIGINT) AS n, round(avg(y), 4) AS mean_pred FROM preds GROUP BY ALL")
 def shard_roundtrip(spark, sf_dir):
-    """Write the shards of all methods, seeds and domains, verify them for reuse, and read them back."""
+    """Write the shards of all methods, seeds and domains, verify them for reuse in one job, and read them back."""
     shards = store.ShardStore(spark, _scratch(spark, "shards"))
     fp = store.fingerprint({"protocol": "eval-v1"}, {}, horizon=windows.HORIZON)
     written = sorted({tuple(w["shard"].split("__")) for w in shards.save_all(predictions(slim(spark, sf_dir)), fp)})
-    if not all(shards.reuse(m, int(s[1:]), d, fp) for m, d, s in written):
+    if shards.reuse_all(fp) != {(m, int(s[1:]), d) for m, d, s in written}:
         raise integrity.ContractError("a fresh shard was rejected")
     rows = None
     for m in sorted({m for m, _, _ in written}):
@@ -512,29 +512,51 @@ def shard_roundtrip(spark, sf_dir):
     return rows.groupBy("method", "seed", "domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.element_at("pred", 1)), 4).alias("mean_pred")).select("method", *long("seed"), "domain", "n", "mean_pred")
 
 
-@query("SELECT * FROM (VALUES ('clean', true, 0), ('stale fingerprint', false, 1), ('tampered rows', false, 2), ('duplicate and missing', false, 3), ('wrong scale', false, 4), ('not finite', false, 5), ('regenerated', true, 5)) t(step, reused, quarantined)")
+def _n0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.last_value(slim(spark, sf_dir)).withColumn("pos", F.col("s").cast("long"))
+
+
+@query(f"WITH {WINDOWS} SELECT domain, CAST(count(*) AS BIGINT) AS n_rows, true AS same_hash, true AS in_order, true AS changed FROM starts GROUP BY domain")
+def shard_manifest(spark, sf_dir):
+    """Manifests of all shards of the last-value forecast: written again from other partitions they have the same hash; with one place changed they have not.
+
+    ``in_order``: rows read back one after another keep the order of their variables' windows."""
+    rows = _n0(spark, sf_dir)
+    roots = {}
+    for name, f in (("a", rows), ("b", rows.repartition(13, "sample_id")), ("c", rows.withColumn("pos", F.when(F.col("s") == 4, F.lit(-1)).otherwise(F.col("pos"))))):
+        roots[name] = store.ShardStore(spark, _scratch(spark, f"manifest-{name}"))
+        roots[name].save_all(f, {"protocol": "eval-v1"})
+    a, b, c = (roots[k].manifests().select("domain", "n_rows", F.col("content").alias(k)) for k in "abc")
+    order = roots["a"].in_order()
+    both = a.join(b.drop("n_rows"), "domain").join(c.drop("n_rows"), "domain").join(order, "domain")
+    return both.select("domain", "n_rows", (F.col("a") == F.col("b")).alias("same_hash"), "in_order", (F.col("a") != F.col("c")).alias("changed"))
+
+
+_FAULTS_OF = {1: "", 2: "fingerprint", 3: "content hash,row count,duplicates", 4: "duplicates,missing", 5: "values", 6: "not finite", 7: "not finite"}
+_FAULT_SQL = " ".join(f"WHEN 'line{k}' THEN '{v}'" for k, v in _FAULTS_OF.items())
+
+
+@query(f"""WITH {WINDOWS}, sh AS (SELECT split_part(var_key, '__', 2) AS domain, count(*) AS n, count(*) FILTER (s = 0) AS first FROM starts GROUP BY ALL)
+SELECT domain, CAST(n + CASE WHEN domain = 'line3' THEN first ELSE 0 END AS BIGINT) AS n_rows, CASE domain {_FAULT_SQL} END AS problems, domain IN ('line1', 'line7') AS good FROM sh""")
 def quarantine_drill(spark, sf_dir):
-    """Each fault is planted in a shard of real windows; the store must reject it and move it aside."""
-    w = wins(spark, sf_dir).where("var_key = 'A_F__line1' AND s < 40")
-    preds = spark.createDataFrame(forecast.last_value(w).toArrow())  # nine rows, used in every step
-    w = preds
-    expected = w.select("var_key", "sample_id", "target", "d")
-    shards = store.ShardStore(spark, _scratch(spark, "drill"))
-    key, fp = ("N0", 0, "A_F"), {"protocol": "eval-v1", "step": 48}
-    dup = preds.where("s > 0").unionByName(preds.where("s = 4"))
-    steps = [
-        ("clean", preds, fp), ("stale fingerprint", preds, fp | {"step": 9}), ("tampered rows", preds, fp), ("duplicate and missing", dup, fp),
-        ("wrong scale", preds.withColumn("d", F.col("d") * (1 + 1e-12)), fp), ("not finite", preds.withColumn("pred", F.transform("pred", lambda x: F.lit(float("nan")))), fp), ("regenerated", preds, fp),
-    ]
-    out = []
-    for name, rows, print_ in steps:
-        if shards.manifest(*key) is not None:
-            shards._fs.delete(shards._path(shards.shard_dir(*key)), True)
-        head = shards.save(*key, print_, rows)
-        if name == "tampered rows":
-            rows.limit(1).select("var_key", "sample_id", "domain", "pred", "target", "d").write.mode("append").parquet(f"{shards.shard_dir(*key)}/{head['data']}")
-        out.append((name, shards.reuse(*key, fp, expected), len(shards.quarantined())))
-    return spark.createDataFrame(out, "step string, reused boolean, quarantined int")
+    """All windows as seven shards by line number, six of them with a fault of their own; one job finds all, and what is rejected moves aside. The seventh is made anew."""
+    rows = _n0(spark, sf_dir).withColumn("domain", F.split("var_key", "__", 2)[1])
+    of = lambda k: F.col("domain") == f"line{k}"
+    nan = F.transform("pred", lambda _: F.lit(float("nan")))
+    bad = rows.withColumns({"d": F.when(of(5), F.col("d") * (1 + 1e-12)).otherwise(F.col("d")), "pred": F.when(of(6) | of(7), nan).otherwise(F.col("pred"))})
+    bad = bad.where(~(of(4) & (F.col("s") == 0))).unionByName(bad.where(of(4) & (F.col("s") == 4)))
+    shards, fp = store.ShardStore(spark, _scratch(spark, "drill")), {"protocol": "eval-v1", "step": 48}
+    heads = {h["shard"].split("__")[1]: h for h in shards.save_all(bad, fp)}
+    shards.save_all(bad.where(of(2)), fp | {"step": 9})
+    late = bad.where(of(3) & (F.col("s") == 0)).select(*store.COLUMNS, "pos")
+    late.write.mode("append").parquet(f"{shards.shard_dir('N0', 0, 'line3')}/{heads['line3']['data']}")
+    first = spark.createDataFrame([(r["domain"], r["n_rows"], ",".join(r["problems"])) for r in shards.verify(fp, rows).collect()], "domain string, n_rows long, problems string")  # a row a shard
+    good = shards.reuse_all(fp, rows)
+    shards.save_all(rows.where(of(7)), fp)
+    if len(shards.quarantined()) != len(heads) - len(good):
+        raise integrity.ContractError("a rejected shard is not in quarantine")
+    after = shards.verify(fp, rows).where(F.size("problems") == 0).select("domain", F.lit(True).alias("good"))
+    return first.join(after, "domain", "left").select("domain", "n_rows", "problems", F.coalesce("good", F.lit(False)).alias("good"))
 
 
 @query(f"WITH {POINTS} SELECT var_key, CAST(count(*) AS BIGINT) AS n, CAST(round(100 * sum(v)) AS BIGINT) AS cents FROM points GROUP BY var_key")

@@ -82,7 +82,7 @@ def test_store(spark, tmp_path):
     assert s.reuse(*key, fp, want) and s.quarantined() == []
     assert integrity.same_rows(s.entries("S", [2021], ["a"]).drop("method", "seed"), want)
     assert s.entries("S", [2021], ["a"]).select("seed").first()[0] == 2021
-    assert s.problems(*key, fp | {"step": 9}) == ["fingerprint mismatch"]
+    assert s.problems(*key, fp | {"step": 9}) == ["fingerprint"]
     with pytest.raises(integrity.ContractError):
         s.entries("S", [2021], ["a", "b"])
     # an unreadable manifest, and data that no manifest names
@@ -90,11 +90,14 @@ def test_store(spark, tmp_path):
     head = json.loads(path.read_text())
     path.write_text("{")
     (path.parent / ".manifest.json.crc").unlink(missing_ok=True)
-    assert s.problems(*key, fp) == ["manifest unreadable or without data"]
+    assert s.problems(*key, fp) == ["no data", "fingerprint"]
     path.write_text(json.dumps(head | {"n_rows": 5}))
-    assert s.problems(*key, fp) == ["row count mismatch"]
+    assert s.problems(*key, fp) == ["row count"]
     assert not s.reuse(*key, fp) and not s.reuse(*key, fp) and len(s.quarantined()) == 1
-    s.save(*key, fp, want)
+    first = s.save(*key, fp, want)
+    assert s.save(*key, fp, want.repartition(5))["content_hash"] == first["content_hash"]  # files and order make no difference
+    changed = want.withColumn("d", F.when(F.col("sample_id") == "s3", F.col("d") + 1e-12).otherwise(F.col("d")))
+    assert s.save(*key, fp, changed)["content_hash"] != first["content_hash"]
     s.save(*key, fp, want.limit(2))  # a later save wins; what it replaces is not read
     assert s.entries("S", [2021], ["a"]).count() == 2
 
@@ -105,3 +108,45 @@ def test_store_all(spark, tmp_path):
     heads = s.save_all(preds, {"a": 1})
     assert [h["n_rows"] for h in heads] == [6, 6] and all(s.reuse("S", k, "a", {"a": 1}) for k in (1, 2))
     assert s.entries("S", [1, 2], ["a"]).count() == 12
+
+
+def test_verify_is_one_job_for_all_shards(spark, tmp_path):
+    s = ShardStore(spark, f"file://{tmp_path}/shards")
+    assert s.verify({"a": 1}).count() == 0 and s.reuse_all({"a": 1}) == set()
+    want = entries(spark, 12).withColumn("domain", F.concat(F.lit("d"), F.regexp_extract("sample_id", "[0-9]+", 0)))
+    preds = want.withColumns({"method": F.lit("S"), "seed": F.explode(F.array(F.lit(1), F.lit(2))), "pos": F.lit(3)})
+
+    def jobs(f):
+        before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("count-jobs"))
+        spark.sparkContext.setJobGroup("count-jobs", "")
+        out = f()
+        return out, len(set(spark.sparkContext.statusTracker().getJobIdsForGroup("count-jobs")) - before)
+
+    s.save_all(preds.where("domain in ('d1', 'd2')"), {"a": 1})
+    few, n_few = jobs(lambda: s.verify({"a": 1}, want).collect())
+    s.save_all(preds, {"a": 1})
+    many, n_many = jobs(lambda: s.verify({1: {"a": 1}, 2: {"b": 1}}, want, by_seed=True).collect())
+    assert len(few) == 4 and len(many) == 24 and n_many <= n_few + 1
+    assert {(r["seed"], tuple(r["problems"]), r["n_rows"]) for r in many} == {(1, (), 1), (2, ("fingerprint",), 1)}
+    # a file that can't be read costs its shard only
+    import glob
+    import os
+
+    broken = glob.glob(f"{tmp_path}/shards/method=S/seed=1/domain=d5/data-*/*.parquet")[0]
+    crc = os.path.join(os.path.dirname(broken), f".{os.path.basename(broken)}.crc")
+    os.path.exists(crc) and os.unlink(crc)
+    open(broken, "wb").write(b"PAR1 no")
+    assert {(r["domain"], tuple(r["problems"])) for r in s.verify({"a": 1}, want).where("seed = 1").collect() if r["problems"]} == {("d5", ("no data", "missing"))}
+    assert s.reuse_all({"a": 1}) == {("S", k, f"d{i}") for k in (1, 2) for i in range(12)} - {("S", 1, "d5")} and len(s.quarantined()) == 1
+
+
+def test_order_is_kept(spark, tmp_path):
+    s = ShardStore(spark, f"file://{tmp_path}/shards")
+    rows = spark.range(9000).select(F.concat(F.lit("v"), F.col("id") % 2).alias("var_key"), F.col("id").cast("string").alias("sample_id"), F.lit("a").alias("domain"), F.array(F.lit(1.0)).alias("pred"), F.array(F.lit(1.0)).alias("target"), F.lit(1.0).alias("d"), (9000 - F.col("id")).alias("pos"), F.lit("S").alias("method"), F.lit(1).alias("seed"))
+    s.save_all(rows.repartition(7), {})
+    assert s.in_order().collect()[0]["in_order"]
+    got = [(r["var_key"], r["pos"]) for r in s.entries("S", [1], ["a"], ordered=True).collect()]
+    assert got == sorted(got)
+    back = s.spark.read.parquet(f"{s.shard_dir('S', 1, 'a')}/data-*").orderBy(F.rand(1))
+    back.write.parquet(f"{s.shard_dir('S', 1, 'a')}/data-x")
+    assert not s.in_order().collect()[0]["in_order"]
