@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
-from plumbline.operators import compare, forecast, integrity, metrics, report, series, splits, store, windows
+from plumbline.operators import compare, forecast, integrity, metrics, report, series, splits, spot, store, windows
 from plumbline.plans.registry import query
 from plumbline.sources import files, npz, zipjson
 
@@ -605,20 +605,48 @@ def archived_rows(spark, sf_dir):
 
 @query(f"WITH {SPLITS}, fb AS (SELECT var_key, stddev_pop(v) AS x FROM points WHERE i < 96 GROUP BY var_key) SELECT domain, var_key, sample_id, split, CAST(pos AS BIGINT) AS pos, CAST(s AS BIGINT) AS s, round(x, 6) AS fallback_std FROM native JOIN fb USING (var_key)")
 def split_manifest_rows(spark, sf_dir):
-    """The splits of all variables, written as a nested-map JSON manifest and read back; a manifest is one document, as in the frozen protocol."""
+    """The splits of all variables, written by the executors as a manifest of lines, nested maps of a piece of a variable each, and read back."""
     pts = points(spark, sf_dir)
-    each = splits.native(series.lengths(pts), STRIDE).groupBy("domain", "var_key", "split").agg(F.array_sort(F.collect_list(F.struct("pos", "sample_id", "s"))).alias("rows"))
-    manifest: dict = {}
-    for r in each.join(series.fallback_std(pts), "var_key").collect():
-        own = manifest.setdefault(r["var_key"], {"domain": r["domain"], "fallback_std": r["fallback_std"], "sample_start_idx": {}, "native": {}})
-        own["native"][r["split"]] = [x["sample_id"] for x in r["rows"]]
-        own["sample_start_idx"] |= {x["sample_id"]: x["s"] for x in r["rows"]}
-    path = f"{_scratch(spark, 'manifest')}/splits.json"
-    files.write_bytes(path, json.dumps({"variables": manifest}).encode())
-    variables_, rows = files.split_manifest(spark, path)
+    folder = _scratch(spark, "manifest")
+    files.write_manifest(splits.native(series.lengths(pts), STRIDE).join(series.fallback_std(pts), "var_key"), folder)
+    variables_, rows = files.split_manifest(spark, folder, lines=True)
     return rows.join(variables_, "var_key").select("domain", "var_key", "sample_id", "split", *long("pos", "s"), *r6("fallback_std"))
 
 
+@query(f"""WITH {POINTS}, w AS (SELECT domain, min(var_key) AS var_key FROM lens GROUP BY domain)
+SELECT w.domain, w.var_key, CASE WHEN n >= 216 THEN w.var_key || '__' || strftime(TIMESTAMP '2000-01-01' + INTERVAL 204 HOUR, '%Y%m%dT%H%M%S') END AS sample_id, CASE WHEN n >= 216 THEN 0.0::DOUBLE END AS past_diff,
+    CASE WHEN n >= 216 THEN (w.domain = 'N_O')::INT::DOUBLE END AS target_diff, n >= 216 AND w.domain <> 'N_O' AS ok FROM w JOIN lens USING (var_key)""")
+def spot_check_sources(spark, sf_dir):
+    """All series as an archive of ZIPs, a manifest and a cache, and the first variable of each domain held against one another.
+
+    The manifest leaves out each variable's first window, so the first hit is the second sample; the archive's targets of one domain are off by one."""
+    pts = points(spark, sf_dir)
+    step = windows.CONTEXT + windows.HORIZON
+    begins = F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00")) + F.make_dt_interval(hours=F.col("s") + windows.CONTEXT)
+    cut = windows.cut(pts, step).withColumns({"n": F.floor(F.col("s") / step), "begins": begins, "var": F.split("var_key", "__", 2)[1]})
+    archive, manifest, cache = (_scratch(spark, f"spot-{k}") for k in ("zip", "manifest", "npz"))
+    target = F.when(F.col("domain") == "N_O", F.transform("target", lambda x: x + 1)).otherwise(F.col("target"))
+    member = F.format_string("wrapper/%s/%s.json", "domain", "var")
+    zipjson.write_windows(cut.select(member.alias("member"), "n", F.date_format("begins", "yyyy-MM-dd'T'HH:mm:ss").alias("future_start"), "past", target.alias("target")), archive)
+    listed = cut.where("s > 0").select("var_key", "domain", F.lit(1.0).alias("fallback_std"), F.lit("test").alias("split"), (F.col("n") - 1).alias("pos"), scalar.timestamp_id(F.col("domain"), F.col("var"), F.col("begins")).alias("sample_id"), "s")
+    files.write_manifest(listed, manifest)
+    npz.write_ragged(series.chunks(pts, step - 1), cache)
+    first = {r["k"]: r["domain"] for r in series.lengths(pts).groupBy("domain").agg(F.min("var_key").alias("k")).collect()}  # a row a domain
+    got = spot.spot_check(spark, {k: f"wrapper/{d}/{k.split('__', 1)[1]}.json" for k, d in first.items()}, archive, manifest, cache, series.CHUNK)
+    return got.select(scalar.domain_of_key(F.col("var_key")).alias("domain"), "var_key", "sample_id", "past_diff", F.round("target_diff", 6).alias("target_diff"), "ok")
+
+
+@query("SELECT event_type || '__all' AS var_key, CAST(event_id AS BIGINT) AS idx, CAST(NULL AS DOUBLE) AS first FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+def zip_pruned(spark, sf_dir):
+    """One variable's members of an archive of all events, without values: other members are not opened, and no number is read."""
+    rows = files.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("idx"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "value")
+    folder = _scratch(spark, "zip")
+    zipjson.write(rows, folder)
+    kind = rows.agg(F.min("kind")).first()[0]
+    got = zipjson.samples(spark, folder, load_values=False, members=[f"wrapper/{kind}/all.json"])
+    return got.select("var_key", *long("idx"), F.element_at("past", 1).alias("first"))
+
+
 @query(f"WITH {LADDER} SELECT method, CAST(seed AS BIGINT) AS seed, CAST(count(*) AS BIGINT) AS n_vars, CAST(count(DISTINCT domain) AS BIGINT) AS n_domains, CAST(sum(n) AS BIGINT) AS n_windows FROM by_var GROUP BY ALL")
 def merged_runs(spark, sf_dir):
     """Runs of single domains put together: refused unless each run has the same domains and every variable once."""

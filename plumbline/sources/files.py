@@ -48,7 +48,7 @@ def write_bytes(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-MANIFEST_SCHEMA = "variables map<string, struct<domain: string, fallback_std: double, sample_start_idx: map<string, int>, native: map<string, array<string>>>>"
+MANIFEST_SCHEMA = "variables map<string, struct<domain: string, fallback_std: double, sample_start_idx: map<string, int>, native: map<string, array<string>>, first: map<string, int>>>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,17 +91,32 @@ def resolve(*candidates: str | None, env: str | None = None) -> str:
     raise FileNotFoundError(f"none of {[c for c in candidates if c]} exists" + (f"; set {env}" if env else ""))
 
 
-def split_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def split_manifest(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(variables, splits) of a nested-map JSON manifest: variables (var_key, domain, fallback_std), splits (var_key, sample_id, split, pos, s).
 
-    The schema is given: inferred, each var_key would become a column. A sample id without a start index has a null s.
+    The schema is given: inferred, each var_key would become a column. A sample id without a start index has a null s. A manifest is one document,
+    read by one task; with ``lines`` it is a folder as ``write_manifest`` makes it, a piece of a variable a line, read by many.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST_SCHEMA).alias("m"))
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", MANIFEST_SCHEMA).alias("m"))
     each = raw.select(F.explode("m.variables").alias("var_key", "x"))
     variables = each.select("var_key", "x.domain", "x.fallback_std")
-    lists = each.select("var_key", F.col("x.sample_start_idx").alias("starts"), F.explode("x.native").alias("split", "ids"))
-    rows = lists.select("var_key", "split", "starts", F.posexplode("ids").alias("pos", "sample_id"))
-    return variables, rows.select("var_key", "sample_id", "split", "pos", F.try_element_at("starts", F.col("sample_id")).alias("s"))
+    lists = each.select("var_key", F.col("x.sample_start_idx").alias("starts"), F.col("x.first").alias("first"), F.explode("x.native").alias("split", "ids"))
+    rows = lists.select("var_key", "split", "starts", "first", F.posexplode("ids").alias("at", "sample_id"))
+    pos = F.col("at") + F.coalesce(F.try_element_at("first", F.col("split")), F.lit(0))
+    return variables.distinct() if lines else variables, rows.select("var_key", "sample_id", "split", pos.alias("pos"), F.try_element_at("starts", F.col("sample_id")).alias("s"))
+
+
+def write_manifest(rows: DataFrame, folder: str, ids: int = 1 << 12) -> None:
+    """Write splits (var_key, domain, fallback_std, split, pos, sample_id, s) as a manifest of lines, each with at most ``ids`` ids of one variable and split.
+
+    Every line is a manifest of its own; ``first`` says where its list begins. Nothing passes through the driver.
+    """
+    piece = F.floor(F.col("pos") / ids)
+    got = F.array_sort(F.collect_list(F.struct("pos", "sample_id", "s")))
+    lists = rows.groupBy("var_key", "domain", "fallback_std", "split", piece.alias("piece")).agg(got.alias("x"))
+    names = F.transform("x", lambda r: r["sample_id"])
+    own = F.struct("domain", "fallback_std", F.map_from_arrays(names, F.transform("x", lambda r: r["s"].cast("int"))).alias("sample_start_idx"), F.create_map("split", names).alias("native"), F.create_map("split", F.element_at("x", 1)["pos"].cast("int")).alias("first"))
+    lists.select(F.to_json(F.struct(F.create_map("var_key", own).alias("variables"))).alias("value")).write.text(folder)
 
 
 def archived_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
