@@ -7,6 +7,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import tarfile
 import uuid
 from pathlib import Path
@@ -104,14 +105,14 @@ def markdown(title: str, notes: list[str], overall: list[list], improvements: li
 
 
 def write_evidence(checks: DataFrame, folder: str | Path) -> dict:
-    """One JSON file a section of ``checks`` (section, item, ok, detail), and the overall verdict."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    """One JSON file a section of ``checks`` (section, item, ok, and any detail) below a path or URI, and the overall verdict."""
+    folder = str(folder).rstrip("/")
     rows = [r.asDict() for r in checks.orderBy("section", "item").collect()]
     for s in sorted({r["section"] for r in rows}):
         own = [r for r in rows if r["section"] == s]
-        write_json(Path(folder) / f"{s}.json", {"ok": all(bool(r["ok"]) for r in own), "items": own})
+        write_json(f"{folder}/{re.sub(r'[^A-Za-z0-9_-]', '_', s)}.json", {"ok": all(bool(r["ok"]) for r in own), "items": own})
     verdict = {"ok": all(bool(r["ok"]) for r in rows), "n": len(rows)}
-    write_json(Path(folder) / "report.json", verdict)
+    write_json(f"{folder}/report.json", verdict)
     return verdict
 
 

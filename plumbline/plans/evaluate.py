@@ -3,7 +3,7 @@
     python -m plumbline.plans.evaluate --config protocol.json --dry-run
     python -m plumbline.plans.evaluate --config protocol.json --approve <first 12 hex digits of the config's SHA-256>
 
-Config (JSON): windows and reference (Parquet URIs), reference_method (if it holds several), out (URI), method, seeds, expect {windows, variables, domains}, files {URI: sha256}.
+Config (JSON): windows and reference (Parquet URIs), reference_method (if it holds several), out (URI), method, seeds, expect {windows, variables, domains, by_domain (optional: windows of each)}, files {URI: sha256}.
 windows: var_key, sample_id, domain, past, target, d. reference: the same keys with method, seed, pred, target, d.
 Exit codes: 0 done or planned, 1 locked (neither approved nor a dry run), 2 rejected.
 """
@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalar import all_finite, finite
 from plumbline.operators import compare, forecast, integrity, metrics, report
 from plumbline.operators.store import ShardStore, fingerprint
 from plumbline.sources import files
@@ -35,9 +36,26 @@ def gate(spark: SparkSession, config: dict) -> list[dict]:
         bad = sorted(u for u, h in config.get("files", {}).items() if got[u] != h)
         return not bad, bad
 
+    seen: dict = {}
+
+    def one_pass():
+        """Windows, variables and rows that are not finite or not positive of each domain, in one pass; a variable of two domains counts twice."""
+        if not seen:
+            whole = all_finite(F.col("past")) & all_finite(F.col("target")) & finite(F.col("d")) & (F.col("d") > 0)
+            per = windows.groupBy("domain", "var_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("bad"))
+            by_domain = per.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("vars")).collect()  # a row a domain
+            seen.update({r["domain"]: (r["n"], r["bad"], r["vars"]) for r in by_domain})
+        return seen
+
     def counts():
-        r = windows.agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("var_key").alias("variables"), F.countDistinct("domain").alias("domains")).first().asDict()
-        return r == want, r
+        got = one_pass()
+        r = {"windows": sum(x[0] for x in got.values()), "variables": sum(x[2] for x in got.values()), "domains": len(got)}
+        return r == {k: want[k] for k in r}, r
+
+    def by_domain():
+        got, totals = one_pass(), want.get("by_domain", {})
+        gaps = {d: [got.get(d, (0,))[0], totals.get(d, 0)] for d in sorted(totals.keys() | got.keys()) if got.get(d, (0,))[0] != totals.get(d, 0)} if totals else {}
+        return not gaps, gaps or totals
 
     def unique():
         some = integrity.duplicates(windows).limit(3).collect()
@@ -47,10 +65,10 @@ def gate(spark: SparkSession, config: dict) -> list[dict]:
         return integrity.same_rows(windows.select(*integrity.KEY), reference.select(*integrity.KEY)), "keys of windows and reference"
 
     def scale():
-        n = integrity.not_finite(windows, "past", "target", "d").count() + windows.where("d <= 0").count()
+        n = sum(x[1] for x in one_pass().values())
         return n == 0, n
 
-    return integrity.run_gate([("files", hashes), ("counts", counts), ("unique keys", unique), ("reference keys", keys), ("finite windows, positive scale", scale)])
+    return integrity.run_gate([("files", hashes), ("counts", counts), ("totals by domain", by_domain), ("unique keys", unique), ("reference keys", keys), ("finite windows, positive scale", scale)])
 
 
 #: What says where and how often to run, not what a shard holds: shards made before it changed stay good.
@@ -112,12 +130,10 @@ def run(spark: SparkSession, config: dict, predict: Predict) -> dict:
     found = [(s, d) for m, s, d in shards.discover() if m == method and s in seeds and d in domains]
     if len(found) != len(seeds) * len(domains):
         raise integrity.ContractError(f"{len(found)} shards of {method}, not {len(seeds) * len(domains)}")
+    for r in shards.verify(marks, windows, by_seed=True, method=method).collect():  # one job: coverage, values and finiteness of all shards
+        if r["problems"]:
+            raise integrity.ContractError(f"{method} {r['seed']} {r['domain']}: {', '.join(r['problems'])}")
     rows = shards.entries(method, seeds, domains)
-    for seed in seeds:
-        own = rows.where(F.col("seed") == seed)
-        integrity.verify_coverage(own, windows, horizon)
-        if integrity.not_finite(own, "pred").limit(1).count():
-            raise integrity.ContractError(f"{method} {seed}: prediction not finite")
     keys = ["method", "seed", "domain", "var_key", "sample_id", "pred", "target", "d"]
     by_var = metrics.variable_level(metrics.score(rows.select(*keys).unionByName(reference.select(*keys))))
     integrity.merge_checked(by_var, set(domains), config["expect"]["variables"])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
-from plumbline.operators import compare, forecast, integrity, metrics, report, series, splits, spot, store, windows
+from plumbline.operators import compare, forecast, integrity, metrics, passing, report, series, splits, spot, store, verify, windows
 from plumbline.plans.registry import query
 from plumbline.sources import files, npz, zipjson
 
@@ -783,3 +783,51 @@ def report_markdown(spark, sf_dir):
         return spark.createDataFrame([(p.rsplit("/", 1)[1], len(data) > 0, len(data.splitlines())) for p in files.list_files(folder) for data in [files.open_uri(p).read()]], "file string, written boolean, lines int")
     finally:
         by_var.unpersist()
+
+
+_LEVELS = " UNION ALL ".join(f"SELECT '{name}' AS level, count(*) AS n FROM {level}" for name, level in (("variable", "by_var"), ("domain", "by_domain"), ("overall", "overall")))
+_METRIC = "unnest(['mse', 'mae', 'raw_mse', 'raw_mae'])"
+
+
+@query(f"""WITH {LADDER}, lv AS ({_LEVELS}), two AS (SELECT level, n, {_METRIC} AS metric FROM lv)
+SELECT 'two routes' AS section, level || ':' || metric AS item, CAST(n AS BIGINT) AS cells, CAST(0 AS BIGINT) AS beyond, true AS ok FROM two
+UNION ALL SELECT 'planted', level || ':' || metric, CAST(n AS BIGINT), CAST((level = 'overall' AND metric = 'mae')::INT AS BIGINT), NOT (level = 'overall' AND metric = 'mae') FROM two
+UNION ALL SELECT 'archive', 'overall:' || unnest(['mse', 'mae']), CAST(n AS BIGINT), CAST(0 AS BIGINT), true FROM lv WHERE level = 'overall'
+UNION ALL SELECT 'planted archive', 'overall:' || m, CAST(n AS BIGINT), CAST((m = 'mse')::INT AS BIGINT), m <> 'mse' FROM (SELECT n, unnest(['mse', 'mae']) AS m FROM lv WHERE level = 'overall')""")
+def verify_ladder(spark, sf_dir):
+    """All cells of the ladder by two routes, and the overall values against a table archived with six decimals; a fault of 1e-9 planted in one cell, and one of 1e-6 in the archive, are found.
+
+    The evidence is written as a JSON file a section, too."""
+    folder = _scratch(spark, "verify")
+    predictions(slim(spark, sf_dir)).select("method", "seed", "domain", "var_key", "sample_id", "pred", "target", "d").write.parquet(f"{folder}/preds")  # both routes read the same predictions
+    preds = spark.read.parquet(f"{folder}/preds")
+    scored = metrics.score(preds)
+    total = metrics.overall_level(metrics.domain_level(metrics.variable_level(scored)))
+    rows = [[r["method"], r["seed"], f"{r['mse']:.6f}", f"{r['mae']:.6f}"] for r in total.orderBy("method", "seed").collect()]  # a row a run
+    report.write_csv(f"{folder}/archive.csv", ["method", "seed", "MSE", "MAE"], rows)
+    archive = files.archived_table(spark, f"{folder}/archive.csv", "method string, seed int, MSE double, MAE double")
+    first, second = metrics.ladder(scored), verify.long_ladder(preds)
+    hit = (F.col("level") == "overall") & (F.col("metric") == "mae") & (F.col("method") == "M")
+    planted = first.withColumn("value", F.when(hit, F.col("value") + 1e-9).otherwise(F.col("value")))
+    wrong = archive.withColumn("MSE", F.when(F.col("method") == "M", F.col("MSE") + 1.1e-6).otherwise(F.col("MSE")))
+    got = verify.agreement(first, second, "two routes").unionByName(verify.agreement(planted, second, "planted"))
+    got = got.unionByName(verify.archived(total, archive, "archive")).unionByName(verify.archived(total, wrong, "planted archive"))
+    got.write.parquet(f"{folder}/evidence")
+    got = spark.read.parquet(f"{folder}/evidence")  # a row a level and metric
+    report.write_evidence(got, f"{folder}/report")
+    return got.select("section", "item", "cells", "beyond", "ok")
+
+
+@query(f"""WITH {WINDOWS}, t AS (SELECT domain, count(*) AS n FROM starts GROUP BY domain), want AS (SELECT domain, n + (domain = 'N_O')::INT AS n FROM t WHERE domain <> 'R_F')
+SELECT 'rows' AS item, CAST((SELECT sum(n) FROM want) AS BIGINT) AS expected, CAST((SELECT sum(n) FROM t) AS BIGINT) AS actual, (SELECT sum(n) FROM want) = (SELECT sum(n) FROM t) AS ok
+UNION ALL SELECT 'not finite', 0, 0, true UNION ALL SELECT 'not positive', 0, 0, true
+UNION ALL SELECT 'other groups', 0, CAST(coalesce((SELECT n FROM t WHERE domain = 'R_F'), 0) AS BIGINT), coalesce((SELECT n FROM t WHERE domain = 'R_F'), 0) = 0
+UNION ALL SELECT 'domain:' || domain, CAST(want.n AS BIGINT), CAST(t.n AS BIGINT), want.n = t.n FROM want JOIN t USING (domain)""")
+def totals_in_passing(spark, sf_dir):
+    """All windows written once, and counted by domain in that write, against totals worked out from the series' lengths; of those, one is off by one and one domain is left out."""
+    lens = series.lengths(points(spark, sf_dir))
+    n = F.greatest(F.floor((F.col("n") - windows.CONTEXT - windows.HORIZON) / STRIDE) + 1, F.lit(0))
+    totals = {r["domain"]: r["n"] for r in lens.groupBy("domain").agg(F.sum(n).cast("long").alias("n")).orderBy("domain").collect() if r["n"]}  # a row a domain
+    seen = passing.Passing({d: k + (d == "N_O") for d, k in totals.items() if d != "R_F"}, numbers=("target", "d", "last"), positive=("d",))
+    seen.watch(slim(spark, sf_dir)).write.parquet(_scratch(spark, "windows"))
+    return spark.createDataFrame([(r["item"], r["expected"], r["actual"], r["ok"]) for r in seen.report()], "item string, expected long, actual long, ok boolean")

@@ -93,3 +93,12 @@ def test_gate(spark, run_dir, change, what):
     else:
         with pytest.raises(integrity.ContractError, match=what):
             evaluate.gate(spark, config | change)
+
+
+def test_totals_by_domain_are_gated(spark, run_dir):
+    _, config = run_dir
+    each = config["expect"]["windows"] // 2
+    want = config["expect"] | {"by_domain": {"a": each, "bb": each}}
+    assert [x["item"] for x in evaluate.gate(spark, config | {"expect": want})][1:3] == ["counts", "totals by domain"]
+    with pytest.raises(integrity.ContractError, match=r"totals by domain.*'bb': \[\d+, \d+\].*'c': \[0, 5\]"):
+        evaluate.gate(spark, config | {"expect": want | {"by_domain": {"a": each, "bb": each + 1, "c": 5}}})
