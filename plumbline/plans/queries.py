@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalar
 from plumbline.operators import compare, forecast, integrity, metrics, passing, report, series, splits, spot, store, verify, windows
 from plumbline.plans.registry import query
-from plumbline.sources import files, npz, zipjson
+from plumbline.sources import files, npy, npz, zipjson
 
 STRIDE, SEEDS = 4, (2021, 2022, 2023)
 PAIRS = [("S", "N0"), ("M", "N0"), ("S", "M")]
@@ -831,3 +831,14 @@ def totals_in_passing(spark, sf_dir):
     seen = passing.Passing({d: k + (d == "N_O") for d, k in totals.items() if d != "R_F"}, numbers=("target", "d", "last"), positive=("d",))
     seen.watch(slim(spark, sf_dir)).write.parquet(_scratch(spark, "windows"))
     return spark.createDataFrame([(r["item"], r["expected"], r["actual"], r["ok"]) for r in seen.report()], "item string, expected long, actual long, ok boolean")
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, true AS same FROM embeddings")
+def npy_roundtrip(spark, sf_dir):
+    """All embeddings as array files, written by the tasks and committed by the driver, read back in ranges of rows and held against the table."""
+    e = files.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("own"))
+    folder = _scratch(spark, "npy")
+    npy.write(e.select(F.col("vec_id").alias("i"), F.concat(F.array(F.col("vec_id").cast("double")), F.col("own")).alias("values")), folder)
+    back = npy.read(spark, folder, split_rows="512").select(F.element_at("values", 1).cast("long").alias("id"), F.slice("values", F.lit(2), F.size("values")).alias("v"))
+    rows = e.join(back, e["vec_id"] == back["id"], "full_outer")
+    return rows.select(F.col("id").alias("vec_id"), F.size("v").cast("long").alias("n"), F.round(scalar.array_sum(F.col("v")), 6).alias("total"), F.coalesce(F.col("own") == F.col("v"), F.lit(False)).alias("same"))
