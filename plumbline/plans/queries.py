@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import scalar
+from plumbline.functions import exact, scalar
 from plumbline.operators import compare, forecast, integrity, metrics, passing, report, series, splits, spot, store, verify, windows
 from plumbline.plans.registry import query
 from plumbline.sources import files, npy, npz, zipjson
@@ -185,12 +185,16 @@ def window_d(spark, sf_dir):
     return slim(spark, sf_dir).select("domain", "var_key", "sample_id", *r6("d"))
 
 
-@query("SELECT * FROM (VALUES ('constant', 99.0::DOUBLE), ('nan', 7.0::DOUBLE), ('ramp', 1.118033988749895::DOUBLE), ('edge', 1e-8::DOUBLE), ('below', 3.0::DOUBLE)) t(name, d)")
+@query(f"""WITH {WINDOWS} SELECT sample_id, CASE WHEN s % 20 = 0 THEN 'constant' WHEN s % 28 = 4 THEN 'nan' WHEN s % 36 = 8 THEN 'tiny' WHEN s % 44 = 12 THEN 'small' ELSE 'own' END AS kind,
+    round(CASE WHEN s % 20 = 0 OR s % 28 = 4 OR s % 36 = 8 THEN fallback_std WHEN s % 44 = 12 THEN sd * 1e-6 * 1e6 ELSE sd END, 6) AS d FROM stats JOIN fb USING (var_key)""")
 def window_d_fallback(spark, sf_dir):
-    nan = float("nan")
-    rows = [("constant", [5.0] * 96, 99.0), ("nan", [1.0, nan, 3.0], 7.0), ("ramp", [1.0, 2.0, 3.0, 4.0], 99.0), ("edge", [1e-8, -1e-8], 3.0), ("below", [9e-9, -9e-9], 3.0)]
-    f = spark.createDataFrame(rows, "name string, past array<double>, fb double")
-    return f.select("name", scalar.window_scale(F.col("past"), F.col("fb")).alias("d"))
+    """The scale of every window, a part of which is made constant, given a NaN, scaled below the threshold, or small but above it."""
+    pts = points(spark, sf_dir)
+    s = F.col("s")
+    kind = F.when(s % 20 == 0, "constant").when(s % 28 == 4, "nan").when(s % 36 == 8, "tiny").when(s % 44 == 12, "small").otherwise("own")
+    made = F.transform("past", lambda x, i: F.when(F.col("kind") == "constant", F.lit(5.0)).when((F.col("kind") == "nan") & (i == 50), F.lit(float("nan"))).when(F.col("kind") == "tiny", x * 1e-14).when(F.col("kind") == "small", x * 1e-6).otherwise(x))
+    rows = windows.with_scale(windows.cut(pts, STRIDE).withColumn("kind", kind).withColumn("past", made), series.fallback_std(pts))
+    return rows.select("sample_id", "kind", F.round(F.when(F.col("kind") == "small", F.col("d") * 1e6).otherwise(F.col("d")), 6).alias("d"))
 
 
 @query(f"WITH {PREDS} SELECT CAST(seed AS BIGINT) AS seed, sample_id, CAST(('0x' || substr(sha256('eval-v1|' || seed || '|' || var_key || '|' || sample_id), 1, 16))::UBIGINT % 2147483647 AS BIGINT) AS w FROM preds WHERE method = 'S'")
@@ -584,23 +588,23 @@ def zip_source(spark, sf_dir):
     return zipjson.samples(spark, folder).select("var_key", "sample_id", *long("idx"), F.element_at("past", -1).alias("last"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, sha256(n_name) AS sha256, md5(n_name) AS md5, CAST(octet_length(encode(n_name)) AS BIGINT) AS length FROM nation")
+@query("""SELECT CAST(p_partkey // 500 AS BIGINT) AS id, sha256(string_agg(p_name || chr(10), '' ORDER BY p_partkey)) AS sha256, md5(string_agg(p_name || chr(10), '' ORDER BY p_partkey)) AS md5,
+    CAST(sum(octet_length(encode(p_name)) + 1) AS BIGINT) AS length FROM part GROUP BY ALL""")
 def file_hashes(spark, sf_dir):
-    """A file for each nation, hashed where it lies by the executors."""
+    """The names of all parts in files of 500 keys, written and hashed where they lie by the executors."""
     folder = _scratch(spark, "hashes")
-    for r in files.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 rows at every scale
-        files.write_bytes(f"{folder}/{r['n_nationkey']}.txt", r["n_name"].encode())
+    part = files.table(spark, sf_dir, "part").withColumn("id", F.floor(F.col("p_partkey") / 500))
+    files.write_texts(part.select(F.format_string("%d.txt", "id").alias("path"), F.col("p_partkey").alias("k"), F.col("p_name").alias("line")), folder)
     got = files.hash_files(spark, folder, "*.txt")
     return got.select(F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).cast("long").alias("id"), "sha256", "md5", "length")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) / 7 AS score FROM nation WHERE n_regionkey < 3")
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name, CAST(c_acctbal AS DOUBLE) / 7 AS score FROM customer WHERE c_acctbal / 7 < 250")
 def archived_rows(spark, sf_dir):
-    """A table archived as CSV by the report sink, read back with its schema and a predicate."""
+    """All customers archived as CSV files by the distributed sink, read back with their schema and a predicate that reaches the scan."""
     folder = _scratch(spark, "archive")
-    rows = [[r["n_nationkey"], r["n_name"], r["n_regionkey"] / 7] for r in files.table(spark, sf_dir, "nation").collect()]
-    report.write_csv(f"{folder}/nation.csv", ["id", "name", "score"], rows)
-    return files.archived_table(spark, f"{folder}/nation.csv", "id long, name string, score double").where(F.col("score") * 7 < 2.5)
+    report.write_table(files.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_acctbal") / 7).alias("score")), folder)
+    return files.archived_table(spark, folder, "id long, name string, score double").where("score < 250")
 
 
 @query(f"WITH {SPLITS}, fb AS (SELECT var_key, stddev_pop(v) AS x FROM points WHERE i < 96 GROUP BY var_key) SELECT domain, var_key, sample_id, split, CAST(pos AS BIGINT) AS pos, CAST(s AS BIGINT) AS s, round(x, 6) AS fallback_std FROM native JOIN fb USING (var_key)")
@@ -692,15 +696,17 @@ def duplicate_variables(spark, sf_dir):
     return integrity.unique_domain(o)
 
 
-@query("""SELECT '/' || r_name || '/nations/' || (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1) || '/key' AS path, CAST(n_nationkey AS DOUBLE) AS value FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT '/' || r_name || '/key', CAST(r_regionkey AS DOUBLE) FROM region""")
+@query("""SELECT CAST(o_custkey AS BIGINT) AS id, '/orders/' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) || '/' || unnest(['key', 'sums/0', 'sums/1/half']) AS path,
+    unnest([CAST(o_orderkey AS DOUBLE), CAST(o_totalprice AS DOUBLE), CAST(o_totalprice AS DOUBLE) / 2]) AS value FROM orders UNION ALL SELECT DISTINCT CAST(o_custkey AS BIGINT), '/key', CAST(o_custkey AS DOUBLE) FROM orders""")
 def nested_numbers(spark, sf_dir):
-    """Every number of a nested result, with its path; names and flags are none."""
-    tree = {r["r_name"]: {"key": r["r_regionkey"], "id": r["r_regionkey"], "nations": [], "last": True} for r in files.table(spark, sf_dir, "region").collect()}
-    for r in files.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
-        region = next(x for x in tree.values() if x["id"] == r["n_regionkey"])
-        region["nations"].append({"key": r["n_nationkey"], "name": r["n_name"]})
-    return files.flatten_numbers(spark, {k: {n: x for n, x in v.items() if n != "id"} for k, v in tree.items()})
+    """Every number of nested results, with its path: all orders, as a JSON document a customer; names, flags and nulls are none."""
+    o = files.table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("double")
+    one = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.to_json(F.array(price.cast("string"))).alias("skip"), price.alias("p"))
+    per = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("orders"))
+    text = lambda x: F.format_string('{"key": %d, "status": "%s", "open": true, "sums": [%s, {"half": %s, "none": null}]}', x["key"], x["status"], x["p"].cast("string"), (x["p"] / 2).cast("string"))
+    doc = F.format_string('{"key": %d, "last": false, "empty": {}, "orders": [%s]}', F.col("o_custkey"), F.array_join(F.transform("orders", text), ","))
+    return files.json_numbers(per.select(F.col("o_custkey").cast("long").alias("id"), doc.alias("doc")), "doc", depth=6)
 
 
 @query(f"WITH {WINDOWS} SELECT domain, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS same_length, CAST(count(*) AS BIGINT) AS same_mean, true AS some_changed, true AS some_left FROM scaled GROUP BY domain")
@@ -719,22 +725,22 @@ def frequency_mask(spark, sf_dir):
     )
 
 
-@query("""SELECT name, CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS total FROM (SELECT 'constant' AS name, 3.5 AS v FROM range(0, 96) t(i) UNION ALL SELECT 'ramp', i * 0.5 FROM range(0, 96) t(i)
-UNION ALL SELECT 'sine', sin(i / 6.0) FROM range(0, 96) t(i) UNION ALL (SELECT 'noise', c_acctbal FROM customer ORDER BY c_custkey LIMIT 96)) GROUP BY name""")
+@query("""WITH c AS (SELECT CAST(c_custkey // 96 AS BIGINT) AS chunk, c_custkey % 96 AS i, CAST(c_acctbal AS DOUBLE) AS b FROM customer)
+SELECT chunk, unnest(['constant', 'ramp', 'sine', 'noise']) AS name, CAST(count(*) AS BIGINT) AS n, unnest([round(sum(3.5), 6), round(sum(i * 0.5), 6), round(sum(sin(i / 6.0)), 6), round(sum(b), 6)]) AS total FROM c GROUP BY chunk""")
 def synthetic_series(spark, sf_dir):
-    """The generator's four windows, its noise given as literals."""
-    noise = [float(r[0]) for r in files.table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_acctbal").limit(96).collect()]  # one window's length
-    rows = files.synthetic_windows(spark, noise)
-    return rows.select("name", F.size("past").cast("long").alias("n"), F.round(scalar.array_sum(F.col("past")), 6).alias("total"))
+    """The generator's four windows for every 96 customers, whose balances are the noise."""
+    c = files.table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 96).alias("chunk"), (F.col("c_custkey") % 96).cast("int").alias("i"), F.col("c_acctbal").cast("double").alias("noise"))
+    rows = files.synthetic_points(c)
+    return rows.groupBy("chunk", "name").agg(F.count(F.lit(1)).alias("n"), F.round(exact.exact_sum("v"), 6).alias("total"))
 
 
-@query("SELECT 'src/' || n_nationkey || '.py' AS path, md5(n_name) AS md5 FROM nation")
+@query("""SELECT 'src/' || (s_suppkey // 100) || '.py' AS path, md5(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS md5 FROM supplier GROUP BY s_suppkey // 100""")
 def code_hashes(spark, sf_dir):
-    """Hashes of code below a folder: other suffixes and output folders are left out."""
+    """Hashes of code below a folder, all suppliers in files of a hundred keys: other suffixes and output folders are left out."""
     folder = f"{_scratch(spark, 'code')}/project"
-    for r in files.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # 25 rows at every scale
-        for path in (f"src/{r['n_nationkey']}.py", f"results/{r['n_nationkey']}.py", f"src/{r['n_nationkey']}.txt"):
-            files.write_bytes(f"{folder}/{path}", r["n_name"].encode())
+    rows = files.table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 100).alias("n"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("line"))
+    names = F.explode(F.array(*[F.format_string(x, "n") for x in ("src/%d.py", "results/%d.py", "src/%d.txt")]))
+    files.write_texts(rows.withColumn("path", names), folder)
     return files.code_fingerprint(spark, folder)
 
 

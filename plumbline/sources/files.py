@@ -74,6 +74,21 @@ def hash_large(path: str | Path, kind: str = "sha256", piece: int = 1 << 22) ->
     return h.hexdigest()
 
 
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """Write rows (path, k, line) as text files below ``folder``, by the executors: a file's lines by k, each with a line feed.
+
+    A file is one group, so paths must bound their lines, such as by a range of k.
+    """
+    import pyarrow as pa
+
+    def save(key, part):
+        lines = [r["line"] for r in sorted(part.select(["k", "line"]).to_pylist(), key=lambda r: r["k"])]
+        write_bytes(f"{folder}/{key[0].as_py()}", "".join(f"{x}\n" for x in lines).encode())
+        return pa.table({"n": pa.array([len(lines)], pa.int64())})
+
+    rows.select("path", "k", "line").groupBy("path").applyInArrow(save, "n long").agg(F.sum("n")).collect()
+
+
 def code_fingerprint(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("py", "sh", "yaml"), skip: tuple[str, ...] = ("results", "logs", "predictions", "__pycache__")) -> DataFrame:
     """(path, md5) of source files outside output folders, relative to ``folder``."""
     rows = hash_files(spark, folder, "*.{" + ",".join(suffixes) + "}")
@@ -123,19 +138,23 @@ def archived_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def flatten_numbers(spark: SparkSession, obj: object) -> DataFrame:
-    """(path, value) of every number in nested dicts and lists, for finiteness checks over a whole result."""
-    out: list[tuple[str, float]] = []
-    todo: list[tuple[str, object]] = [("", obj)]
-    while todo:
-        at, x = todo.pop()
-        if isinstance(x, dict):
-            todo += [(f"{at}/{k}", v) for k, v in x.items()]
-        elif isinstance(x, (list, tuple)):
-            todo += [(f"{at}/{k}", v) for k, v in enumerate(x)]
-        elif isinstance(x, (int, float)) and not isinstance(x, bool):
-            out.append((at, float(x)))
-    return spark.createDataFrame(sorted(out, key=lambda r: r[0]), "path string, value double")
+def json_numbers(rows: DataFrame, json_column: str, depth: int = 8) -> DataFrame:
+    """The other columns of ``rows`` with (path, value) for every number within its JSON, for finiteness checks over whole results.
+
+    A path is the keys and positions from the top, each after a slash. Every level of nesting is one narrow step, ``depth`` of them in one scan; a container
+    that lies deeper raises, so none is lost. Text, flags and nulls are no numbers; a text that is no JSON raises.
+    """
+    keep = [c for c in rows.columns if c != json_column]
+    level = rows.select(*keep, F.lit("").alias("path"), F.parse_json(json_column).alias("v"))
+    for _ in range(depth):  # one scan: containers are opened, all else passes
+        inner = level.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select("pos", "key", F.col("value").alias("w"))
+        path = F.concat("path", F.lit("/"), F.coalesce("key", F.col("pos").cast("string")))
+        level = level.lateralJoin(inner).select(*keep, F.when(F.col("w").isNull(), F.col("path")).otherwise(path).alias("path"), F.coalesce("w", "v").alias("v"))
+    kind = F.schema_of_variant("v")
+    deep = F.raise_error(F.concat(F.lit("JSON is nested too deeply at "), F.col("path"))).cast("double")
+    value = F.when(kind.rlike("^(OBJECT|ARRAY)") & ~kind.isin("OBJECT<>", "ARRAY<VOID>") | (kind == "ARRAY<VOID>") & F.try_variant_get("v", "$[0]", "variant").isNotNull(), deep)
+    value = value.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double"))
+    return level.select(*keep, "path", value.alias("value")).where(F.col("value").isNotNull())
 
 
 def synthetic_windows(spark: SparkSession, noise: list[float], n: int = 96) -> DataFrame:
@@ -148,3 +167,10 @@ def synthetic_windows(spark: SparkSession, noise: list[float], n: int = 96) -> D
         f = one.select(F.lit(name).alias("name"), past.cast("array<double>").alias("past"))
         out = f if out is None else out.unionByName(f)
     return out
+
+
+def synthetic_points(noise: DataFrame) -> DataFrame:
+    """(chunk, name, i, v): constant, ramp and sine windows, and the given noise, for every row (chunk, i, noise) of a table."""
+    i = F.col("i").cast("double")
+    kinds = {"constant": F.lit(3.5), "ramp": i * 0.5, "sine": F.sin(i / 6.0), "noise": F.col("noise")}
+    return noise.select("chunk", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("v")) for k, v in kinds.items()])).alias("x")).select("chunk", "x.name", "i", "x.v")

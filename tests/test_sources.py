@@ -106,3 +106,20 @@ def test_commit_batches(spark, tmp_path):
         q = shards.commit_batches(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), store, {"v": 1}, str(tmp_path / "cp"))
         q.awaitTermination(120)
     assert store.entries("S", [1], ["a-0"]).count() == 4
+
+
+def test_numbers_of_nested_json(spark):
+    text = '{"a": [1, {"b": 2.5, "c": [[]]}], "n": null, "t": true, "s": "3", "o": {}, "e": -1e3, "big": 12345678901234567890}'
+    rows = spark.createDataFrame([(1, text), (2, "7"), (3, None), (4, "[]")], "id int, doc string")
+    got = sorted((r["id"], r["path"], r["value"]) for r in files.json_numbers(rows, "doc").collect())
+    assert got == [(1, "/a/0", 1.0), (1, "/a/1/b", 2.5), (1, "/big", 12345678901234567890.0), (1, "/e", -1000.0), (2, "", 7.0)]
+    with pytest.raises(Exception, match="too deeply at /a"):
+        files.json_numbers(rows.where("id = 1"), "doc", depth=1).collect()
+    with pytest.raises(Exception):
+        files.json_numbers(spark.createDataFrame([("{no",)], "doc string"), "doc").collect()
+
+
+def test_texts_are_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.txt", 2, "two"), ("a/x.txt", 1, "one"), ("y.txt", 1, "é")], "path string, k int, line string")
+    files.write_texts(rows, f"file://{tmp_path}/t")
+    assert (tmp_path / "t/a/x.txt").read_text() == "one\ntwo\n" and (tmp_path / "t/y.txt").read_text() == "é\n"
