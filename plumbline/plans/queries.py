@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import exact, scalar
-from plumbline.operators import compare, forecast, integrity, metrics, passing, report, series, splits, spot, store, verify, windows
+from plumbline.operators import compare, forecast, integrity, metrics, passing, report, series, splits, spot, state, store, verify, windows
 from plumbline.plans.registry import query
-from plumbline.sources import files, npy, npz, zipjson
+from plumbline.sources import files, npy, npz, tensors, zipjson
 
 STRIDE, SEEDS = 4, (2021, 2022, 2023)
 PAIRS = [("S", "N0"), ("M", "N0"), ("S", "M")]
@@ -848,3 +848,53 @@ def npy_roundtrip(spark, sf_dir):
     back = npy.read(spark, folder, split_rows="512").select(F.element_at("values", 1).cast("long").alias("id"), F.slice("values", F.lit(2), F.size("values")).alias("v"))
     rows = e.join(back, e["vec_id"] == back["id"], "full_outer")
     return rows.select(F.col("id").alias("vec_id"), F.size("v").cast("long").alias("n"), F.round(scalar.array_sum(F.col("v")), 6).alias("total"), F.coalesce(F.col("own") == F.col("v"), F.lit(False)).alias("same"))
+
+
+@query("""WITH e AS (SELECT 'g' || (vec_id % 16) || '/b' || (vec_id // 256) || '/v' || vec_id AS path, vec_id, len(embedding) AS n FROM embeddings)
+SELECT path, CASE WHEN vec_id % 97 = 5 THEN 'changed' ELSE 'removed' END AS kind, CASE WHEN vec_id % 97 = 5 THEN CAST(vec_id % n AS BIGINT) END AS position FROM e WHERE vec_id % 97 = 5 OR vec_id % 101 = 7
+UNION ALL SELECT path || 'x', 'added', NULL FROM e WHERE vec_id % 103 = 9 AND NOT (vec_id % 97 <> 5 AND vec_id % 101 = 7)""")
+def state_changes(spark, sf_dir):
+    """All embeddings as a state of nested arrays, before and after: one element of some is changed, some are gone and some are new; all are named."""
+    e = files.table(spark, sf_dir, "embeddings").withColumn("path", F.format_string("g%d/b%d/v%d", F.col("vec_id") % 16, F.floor(F.col("vec_id") / 256), "vec_id"))
+    before = e.select("path", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    hit = F.col("vec_id") % 97 == 5
+    after = before.where(hit | (F.col("vec_id") % 101 != 7)).withColumn("values", F.when(hit, F.transform("values", lambda x, i: F.when(i == F.col("vec_id") % F.size("values"), x + 1e-9).otherwise(x))).otherwise(F.col("values")))
+    after = after.unionByName(after.where("vec_id % 103 = 9").withColumn("path", F.concat("path", F.lit("x"))))
+    folder = _scratch(spark, "state")
+    trees = [state.save_tree(f.select("path", "values"), f"{folder}/{k}", 3) for k, f in (("before", before), ("after", after))]
+    leaves, _ = state.differing(*trees, 3)
+    return state.changes(before, after, leaves).select("path", "kind", *long("position"))
+
+
+@query("""WITH b AS (SELECT vec_id // 64 AS b, count(*) AS n FROM embeddings GROUP BY ALL)
+SELECT 'layer.' || b || '.weight' AS name, CASE WHEN b % 11 = 5 THEN 'missing' WHEN b % 7 = 3 THEN 'changed' ELSE 'same' END AS state, CASE WHEN b % 11 <> 5 THEN CAST(n AS BIGINT) END AS n_rows FROM b
+UNION ALL SELECT 'layer.' || b || '.extra', 'unexpected', CAST(n AS BIGINT) FROM b WHERE b % 13 = 1""")
+def frozen_weights(spark, sf_dir):
+    """All embeddings as tensors of 64 vectors in files of sixteen, written by the executors with their hashes; a bit of some is flipped, some are left out and some are not in the manifest."""
+    import pandas as pd
+
+    folder = _scratch(spark, "tensors")
+    rows = files.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 64).alias("b")).withColumn("file", F.floor(F.col("b") / 16))
+
+    def save(key, part):  # at most 1,024 vectors
+        import hashlib
+
+        import numpy as np
+
+        out, names = {}, []
+        for b, own in part.sort_values("vec_id").groupby("b"):
+            x, name = np.stack(own["embedding"].to_numpy()).astype(np.float32), f"layer.{b}.weight"
+            names.append((name, hashlib.sha256(x.tobytes()).hexdigest()))
+            if b % 11 != 5:
+                if b % 7 == 3:
+                    x.view(np.uint32)[0, 0] ^= 1
+                out[name] = x
+            if b % 13 == 1:
+                out[f"layer.{b}.extra"] = x
+        tensors.write(f"{folder}/{key[0]:08d}.bin", out)
+        return pd.DataFrame(names, columns=["name", "sha256"])
+
+    rows.groupBy("file").applyInPandas(save, "name string, sha256 string").write.parquet(f"{folder}-manifest")
+    found = tensors.table(spark, folder)
+    got = tensors.against(found, spark.read.parquet(f"{folder}-manifest"))
+    return got.join(found.select("name", F.element_at("shape", 1).alias("n_rows")), "name", "left").select("name", "state", "n_rows")
