@@ -764,31 +764,71 @@ def report_overall(spark, sf_dir):
     return files.archived_table(spark, path, "method string, seed_stat string, mse string, mae string")
 
 
+def _report_files(spark: SparkSession, sf_dir: str) -> str:
+    """All report files of a run below one folder; the ladder is computed once."""
+    folder = _scratch(spark, "report")
+    variables(spark, sf_dir).write.parquet(f"{folder}-variables")
+    by_var = spark.read.parquet(f"{folder}-variables")
+    by_domain = metrics.domain_level(by_var)
+    total = metrics.overall_level(by_domain)
+    over = metrics.over_seeds(total)
+    rows = {
+        "overall": (["method", "seed_stat", "MSE", "MAE"], report.overall_rows(over)),
+        "domain_summary": (["method", "domain", "seed_stat", "MSE", "MAE"], report.domain_rows(metrics.over_seeds(by_domain, "domain"))),
+        "variable_level": (["method", "var_key", "n_windows", "std_MSE", "std_MAE", "raw_MSE", "raw_MAE"], report.variable_rows(metrics.over_seeds(by_var, "var_key"), by_var)),
+        "improvement_counts": (["method", "level", "metric", "improved", "degraded", "equal", "total"], report.improvement_rows(compare.improvement_counts(by_domain, "domain", "N0"), "domain") + report.improvement_rows(compare.improvement_counts(by_var, "var_key", "N0"), "var")),
+        "comparisons": (["comparison", "metric", "delta", "relative_improvement"], report.comparison_rows(compare.comparisons(total, PAIRS))),
+        "fallback_summary": (["method", "seed", "overall_MSE", "overall_MAE", "n_fallback_domains"], report.fallback_rows(compare.with_fallback(by_domain, selection(by_domain), "N0"))),
+    }
+    for name, (header, body) in rows.items():
+        report.write_csv(f"{folder}/{name}.csv", header, body)
+    report.write_json(f"{folder}/aggregate_summary.json", report.summary(over))
+    text = report.markdown("Evaluation", ["Equal weight from window to variable to domain to overall."], rows["overall"][1], rows["improvement_counts"][1], rows["comparisons"][1], rows["fallback_summary"][1], ["Overlapping windows are not independent samples."])
+    report.atomic_write(f"{folder}/report.md", text.encode())
+    return folder
+
+
 @query(None)
 def report_markdown(spark, sf_dir):
     """All report files of a run: (file, bytes > 0, lines)."""
-    by_var = variables(spark, sf_dir).persist()
-    try:
-        by_domain = metrics.domain_level(by_var)
-        total = metrics.overall_level(by_domain)
-        over = metrics.over_seeds(total)
-        folder = _scratch(spark, "report")
-        rows = {
-            "overall": (["method", "seed_stat", "MSE", "MAE"], report.overall_rows(over)),
-            "domain_summary": (["method", "domain", "seed_stat", "MSE", "MAE"], report.domain_rows(metrics.over_seeds(by_domain, "domain"))),
-            "variable_level": (["method", "var_key", "n_windows", "std_MSE", "std_MAE", "raw_MSE", "raw_MAE"], report.variable_rows(metrics.over_seeds(by_var, "var_key"), by_var)),
-            "improvement_counts": (["method", "level", "metric", "improved", "degraded", "equal", "total"], report.improvement_rows(compare.improvement_counts(by_domain, "domain", "N0"), "domain") + report.improvement_rows(compare.improvement_counts(by_var, "var_key", "N0"), "var")),
-            "comparisons": (["comparison", "metric", "delta", "relative_improvement"], report.comparison_rows(compare.comparisons(total, PAIRS))),
-            "fallback_summary": (["method", "seed", "overall_MSE", "overall_MAE", "n_fallback_domains"], report.fallback_rows(compare.with_fallback(by_domain, selection(by_domain), "N0"))),
-        }
-        for name, (header, body) in rows.items():
-            report.write_csv(f"{folder}/{name}.csv", header, body)
-        report.write_json(f"{folder}/aggregate_summary.json", report.summary(over))
-        text = report.markdown("Evaluation", ["Equal weight from window to variable to domain to overall."], rows["overall"][1], rows["improvement_counts"][1], rows["comparisons"][1], rows["fallback_summary"][1], ["Overlapping windows are not independent samples."])
-        report.atomic_write(f"{folder}/report.md", text.encode())
-        return spark.createDataFrame([(p.rsplit("/", 1)[1], len(data) > 0, len(data.splitlines())) for p in files.list_files(folder) for data in [files.open_uri(p).read()]], "file string, written boolean, lines int")
-    finally:
-        by_var.unpersist()
+    folder = _report_files(spark, sf_dir)
+    return spark.createDataFrame([(p.rsplit("/", 1)[1], len(data) > 0, len(data.splitlines())) for p in files.list_files(folder) for data in [files.open_uri(p).read()]], "file string, written boolean, lines int")
+
+
+_STAT = lambda m, n: f"printf('%.6f', avg({m})) || CASE WHEN count(*) = 1 THEN '' ELSE '+/-' || printf('%.6f', stddev_samp({m})) END AS {n}"
+_REPORT_SQL = f"""WITH {LADDER}, o AS (SELECT method, {_STAT('mse', 'MSE')}, {_STAT('mae', 'MAE')} FROM overall GROUP BY method),
+d AS (SELECT method, domain, {_STAT('mse', 'MSE')}, {_STAT('mae', 'MAE')} FROM by_domain GROUP BY ALL),
+v AS (SELECT method, var_key, max(n) AS n, {_STAT('mse', 'MSE')}, {_STAT('mae', 'MAE')} FROM by_var GROUP BY ALL),
+c AS (SELECT a.method || '-' || b.method AS k, x.metric, CASE x.metric WHEN 'mse' THEN a.m - b.m ELSE a.a - b.a END AS delta, CASE x.metric WHEN 'mse' THEN b.m ELSE b.a END AS ref
+    FROM (VALUES ('S', 'N0'), ('M', 'N0'), ('S', 'M')) t(p, q) JOIN (SELECT method, avg(mse) AS m, avg(mae) AS a FROM overall GROUP BY method) a ON a.method = p JOIN (SELECT method, avg(mse) AS m, avg(mae) AS a FROM overall GROUP BY method) b ON b.method = q, (VALUES ('mse'), ('mae')) x(metric)),
+n AS ({_counts_sql('by_domain', 'domain', 'domain')} UNION ALL {_counts_sql('by_var', 'var_key', 'var')}),
+f AS (SELECT s.method, s.seed, avg(CASE WHEN s.fb THEN r.mse ELSE s.mse END) AS m, avg(CASE WHEN s.fb THEN r.mae ELSE s.mae END) AS a, count(*) FILTER (s.fb) AS k
+    FROM (SELECT *, (seed + ascii(domain)) % 3 = 0 AS fb FROM by_domain WHERE method = 'S') s JOIN by_domain r ON r.method = 'N0' AND r.domain = s.domain GROUP BY ALL)
+SELECT 'overall' AS file, method AS key, unnest(['MSE', 'MAE']) AS col, unnest([MSE, MAE]) AS cell FROM o
+UNION ALL SELECT 'domain_summary', method || '|' || domain, unnest(['MSE', 'MAE']), unnest([MSE, MAE]) FROM d
+UNION ALL SELECT 'variable_level', method || '|' || var_key, unnest(['n_windows', 'std_MSE', 'std_MAE']), unnest([CAST(n AS VARCHAR), MSE, MAE]) FROM v
+UNION ALL SELECT 'improvement_counts', method || '|' || level || '(' || total || ')|' || metric, unnest(['improved', 'degraded', 'equal', 'total']), unnest([CAST(improved AS VARCHAR), CAST(degraded AS VARCHAR), CAST(equal AS VARCHAR), CAST(total AS VARCHAR)]) FROM n
+UNION ALL SELECT 'comparisons', k || '|' || metric, unnest(['delta', 'relative_improvement']), unnest([printf('%+.6f', delta), printf('%+.2f%%', -delta / ref * 100)]) FROM c
+UNION ALL SELECT 'fallback_summary', method || '|' || seed, unnest(['overall_MSE', 'overall_MAE', 'n_fallback_domains']), unnest([printf('%.6f', m), printf('%.6f', a), CAST(k AS VARCHAR)]) FROM f
+UNION ALL SELECT 'aggregate_summary', method, unnest(['mse', 'mae']), unnest([printf('%.6f', avg(mse)), printf('%.6f', avg(mae))]) FROM overall GROUP BY method
+UNION ALL SELECT 'report', method, 'line', '| ' || method || ' | ' || MSE || ' | ' || MAE || ' |' FROM o"""
+
+
+@query(_REPORT_SQL)
+def report_cells(spark, sf_dir):
+    """Every cell of the report's tables, of the JSON summary and of the Markdown report's first table, as they stand in the files."""
+    folder = _report_files(spark, sf_dir)
+    keys = {"overall": ["method"], "domain_summary": ["method", "domain"], "variable_level": ["method", "var_key"], "improvement_counts": ["method", "level", "metric"], "comparisons": ["comparison", "metric"], "fallback_summary": ["method", "seed"]}
+    out = None
+    for name, own in keys.items():
+        rows = spark.read.option("header", True).csv(f"{folder}/{name}.csv").drop("seed_stat", "raw_MSE", "raw_MAE")  # raw ones have more digits than doubles
+        cells = rows.select(F.lit(name).alias("file"), F.concat_ws("|", *own).alias("key"), *[c for c in rows.columns if c not in own]).unpivot(["file", "key"], [c for c in rows.columns if c not in own], "col", "cell")
+        out = cells if out is None else out.unionByName(cells)
+    raw = spark.read.text(f"{folder}/aggregate_summary.json", wholetext=True).select(F.explode(F.from_json("value", "methods_overall map<string, struct<mse: array<double>, mae: array<double>>>")["methods_overall"]).alias("key", "x"))
+    cell = F.explode(F.array(*[F.struct(F.lit(m).alias("col"), F.element_at(f"x.{m}", 1).cast("decimal(20,6)").cast("string").alias("cell")) for m in ("mse", "mae")])).alias("c")
+    out = out.unionByName(raw.select(F.lit("aggregate_summary").alias("file"), "key", cell).select("file", "key", "c.*"))
+    lines = spark.read.text(f"{folder}/report.md").where(F.col("value").rlike(r"^\| [A-Z0-9]+ \| [0-9.+/-]+ \| [0-9.+/-]+ \|$"))
+    return out.unionByName(lines.select(F.lit("report").alias("file"), F.split("value", " ")[1].alias("key"), F.lit("line").alias("col"), F.col("value").alias("cell")))
 
 
 _LEVELS = " UNION ALL ".join(f"SELECT '{name}' AS level, count(*) AS n FROM {level}" for name, level in (("variable", "by_var"), ("domain", "by_domain"), ("overall", "overall")))
