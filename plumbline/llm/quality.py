@@ -2,13 +2,16 @@
 
 Every rule rejects where a measure exceeds a cutoff. Labelled documents are parted by the hash of their text, and each distinct text
 of a stratum counts once: copies are no independent evidence, and never stand on both sides. The design third
-proposes, for each stratum (language), the rules that find bad documents there and a nested family of cutoffs: at step L a rule
-may reject at most the share L of the good design documents. The holdout tests the family in its fixed order, from the most
-lenient step on: a step is admissible while the exact (Clopper-Pearson) upper bound of its share of rejected good documents, for
-all rules of the stratum together, is at most ``alpha``; the first step that fails ends the test. A fixed order needs no correction
-over steps; over strata the level is ``delta`` / strata (Bonferroni). So with probability 1 - ``delta`` no stratum loses more
-than ``alpha`` of its good documents, whichever admissible step is then taken: the one that rejects the most bad holdout documents less
-``penalty`` times the good ones. A stratum with too few labelled documents gets no cutoff: it keeps what passes the base rules.
+proposes, for each stratum (language), the rules that find bad documents there and a nested family of steps, lenient ones first: one rule after
+another, the best finders first, with a cutoff well above all good design documents; then one after another without that margin;
+then all with cutoffs that lose a growing share of the good design documents.
+
+The holdout tests the family in this fixed order. A step is admissible while the exact (Clopper-Pearson) upper bound of its share of rejected
+good documents, for all its rules together, is at most ``alpha``; the first step that fails ends the stratum's test. The first steps of all strata share
+FIRST of ``delta`` by Holm's method, the strata's later steps the rest by Bonferroni, a fixed order needing no correction within a stratum. So with
+probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good documents, whichever admissible step is then taken: the one that
+rejects the most bad holdout documents less ``penalty`` times the good ones. A stratum with too few labelled documents gets no cutoff: it keeps what
+passes the base rules.
 
 Measures are taken once from whole texts; what is collected are counts per (stratum, rule, bin) and per (stratum, step).
 """
@@ -27,7 +30,9 @@ from plumbline.llm.common import materialize, scratch_name, ship
 
 BINS = 100
 ALPHA, DELTA, PENALTY = 0.02, 0.05, 4
-STEPS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)
+SHARES = (0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)  # of good design documents that the last steps lose
+MARGIN = 0.1  # of the bins above the good design documents, which the first cutoffs leave out
+FIRST = 0.8  # of delta for the strata's first steps
 DESIGN = 3  # one labelled document in so many proposes cutoffs, the others test them
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -140,9 +145,10 @@ Cutoffs = dict[str, int]
 
 
 def propose(counts: list[tuple[str | None, str, int, int, int]], penalty: float = PENALTY) -> dict[str | None, list[Cutoffs]]:
-    """stratum -> cutoffs by rule at each of STEPS, from the design documents' (stratum, rule, bin, good, bad).
+    """stratum -> its steps, each a cutoff by rule, from the design documents' (stratum, rule, bin, good, bad).
 
-    A rule is proposed for a stratum if at the last step it rejects more bad documents than ``penalty`` times the good ones, and at least three.
+    A rule must find three bad documents to be proposed: with the margin for the first steps; for the further ones, at the last share, and more
+    than ``penalty`` times the good ones that it then rejects.
     """
     cells: dict[tuple, list[list[int]]] = {}
     for s, r, b, good, bad in counts:
@@ -150,32 +156,62 @@ def propose(counts: list[tuple[str | None, str, int, int, int]], penalty: float
         cell[0][b] += good
         cell[1][b] += bad
     out: dict[str | None, list[Cutoffs]] = {}
-    for (s, r), (good, bad) in cells.items():
-        n, cuts = sum(good), []
-        for share in STEPS:
-            cutoff = BINS
-            while cutoff > 0 and sum(good[cutoff:]) <= share * n:
-                cutoff -= 1
-            cuts.append(cutoff)
-        hit, lost = sum(bad[cuts[-1] + 1 :]), sum(good[cuts[-1] + 1 :])
-        if n and hit >= 3 and hit > penalty * lost:
-            for step, cutoff in zip(out.setdefault(s, [{} for _ in STEPS]), cuts):
-                step[r] = cutoff
+    for s in {s for s, _ in cells}:
+        lenient, tight, shared = [], [], {}
+        for r in sorted(r for x, r in cells if x == s):
+            good, bad = cells[s, r]
+            n = sum(good)
+            if not n:
+                continue
+            top = max(b for b, g in enumerate(good) if g)
+            wide = min(BINS, top + max(2, math.ceil(MARGIN * (BINS - top))))
+            found = sum(bad[wide + 1 :])
+            if found >= 3:
+                lenient.append((-found, r, wide))
+            cuts = []
+            for share in SHARES:
+                cutoff = BINS
+                while cutoff > 0 and sum(good[cutoff:]) <= share * n:
+                    cutoff -= 1
+                cuts.append(cutoff)
+            hit, lost = sum(bad[cuts[-1] + 1 :]), sum(good[cuts[-1] + 1 :])
+            if hit >= 3 and hit > penalty * lost:
+                tight.append((-sum(bad[top + 1 :]), r, top))
+                shared[r] = cuts
+        steps: list[Cutoffs] = [{}]
+        for _, r, cutoff in sorted(lenient) + sorted(tight):
+            steps.append(steps[-1] | {r: cutoff})
+        for k in range(len(SHARES) if shared else 0):
+            steps.append(steps[-1] | {r: min(cuts[k], steps[-1].get(r, BINS)) for r, cuts in shared.items()})
+        steps = [x for x, before in zip(steps[1:], steps) if x != before]
+        if steps:
+            out[s] = steps
     return out
 
 
+def chance(lost: int, n: int, share: float) -> float:
+    """Probability that of n documents at most ``lost`` are rejected, if ``share`` of all were; 1 of none."""
+    return 1.0 if lost >= n else 1 - beta_cdf(lost + 1, n - lost, share)
+
+
 def select(tests: dict[str | None, list[tuple[int, int, int]]], strata: int, alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY) -> dict[str | None, tuple[int, float]]:
     """stratum -> (step, bound) from each step's (good documents, rejected ones of them, rejected bad ones) of the holdout."""
-    out = {}
-    for s, steps in tests.items():
+    out: dict[str | None, tuple[int, float]] = {}
+    strata = max(strata, len(tests))
+    order = sorted((s for s in tests if tests[s]), key=lambda s: (chance(tests[s][0][1], tests[s][0][0], alpha), s is None, s or ""))
+    for i, s in enumerate(order):
         best = 0.0
-        for k, (n, lost, hit) in enumerate(steps):
-            bound = false_rejection_bound(lost, n, delta / max(1, strata))
-            if bound > alpha:
+        for k, (n, lost, hit) in enumerate(tests[s]):
+            level = FIRST * delta / (strata - i) if k == 0 else (1 - FIRST) * delta / strata
+            if chance(lost, n, alpha) > level:
                 break
             if hit - penalty * lost > best:
                 best = hit - penalty * lost
-                out[s] = k, bound
+                out[s] = k, false_rejection_bound(lost, n, level)
+        else:
+            k += 1
+        if k == 0:  # Holm: where one first step fails, all that are less sure fail
+            break
     return out
 
 
@@ -196,14 +232,15 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     if not family:
         return []
     hits = []
-    for k in range(len(STEPS)):
+    longest = max(map(len, family.values()))
+    for k in range(longest):
         over = F.lit(False)
         for s, steps in family.items():
-            for rule, cutoff in steps[k].items():
+            for rule, cutoff in steps[k].items() if k < len(steps) else ():
                 over = over | (F.col("stratum").eqNullSafe(F.lit(s)) & (F.col(rule) > cutoff))
         hits += [F.count_if(good & over).alias(f"lost{k}"), F.count_if(bad & over).alias(f"hit{k}")]
     held = rows.where(~F.col("design")).groupBy("stratum").agg(F.count_if(good).alias("n"), *hits).collect()
-    tests = {r["stratum"]: [(r["n"], r[f"lost{k}"], r[f"hit{k}"]) for k in range(len(STEPS))] for r in held if r["stratum"] in family}
+    tests = {r["stratum"]: [(r["n"], r[f"lost{k}"], r[f"hit{k}"]) for k in range(len(family[r["stratum"]]))] for r in held if r["stratum"] in family}
     chosen = select(tests, len(family), alpha, delta)
     return [(s, rule, cutoff, bound) for s, (k, bound) in sorted(chosen.items(), key=lambda x: (x[0] is None, x[0] or "")) for rule, cutoff in sorted(family[s][k].items())]
 
@@ -212,7 +249,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     """doc_id, stratum, COUNTS, base_failed, rejected_by (rule names) and kept for each row of ``docs``.
 
     Defined results: null text counts nothing and fails the base rules; a null stratum is a stratum; labels other than 0 and 1
-    are ignored, and of several for one id the lowest holds; without labels nothing but the base rules rejects.
+    are ignored, and of several for one id the lowest holds; without labels nothing but the base rules rejects. Rows of equal
+    text are judged alike, and repeated rows each have their own; an empty table gives an empty one; other columns are not read. A text
+    of any length is measured whole, by one task, which holds its words and three-word windows.
     """
     measured = materialize(measures(docs, stratum), "quality")
     cutoffs = calibrate(measured, labels, alpha, delta)

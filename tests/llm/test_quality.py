@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,14 +60,93 @@ def test_bound_covers_as_promised():
     assert short / 2000 < level
 
 
-def test_propose_and_select():
+def test_propose():
     counts = [("en", "symbols", 0, 1000, 0), ("en", "symbols", 30, 4, 20), ("en", "symbols", 60, 0, 50), ("en", "repeats", 5, 1004, 2), ("de", "symbols", 9, 3, 2)]
-    family = quality.propose(counts)
-    assert set(family) == {"en"} and [f["symbols"] for f in family["en"]] == [30, 30, 30, 30, 30, 0, 0, 0] and "repeats" not in family["en"][0]
-    assert quality.select({"en": [(1000, 0, 50), (1000, 0, 50), (1000, 2, 70), (1000, 30, 900)]}, 1) == {"en": (2, quality.false_rejection_bound(2, 1000, 0.05))}
-    assert quality.select({"en": [(100, 0, 50)]}, 1) == {} and quality.propose([]) == {}  # too few to promise anything
+    assert quality.propose(counts) == {"en": [{"symbols": 37}, {"symbols": 30}, {"symbols": 0}]} and quality.propose([]) == {}
+    # lenient steps add a rule each, the best finder first; then the margins go; steps are nested
+    more = [*counts, ("en", "one_word", 10, 1004, 0), ("en", "one_word", 80, 0, 70)]
+    steps = quality.propose(more)["en"]
+    assert steps[:4] == [{"one_word": 19}, {"one_word": 19, "symbols": 37}, {"one_word": 10, "symbols": 37}, {"one_word": 10, "symbols": 30}]
+    assert all(x.keys() <= y.keys() and all(y[r] <= x[r] for r in x) for x, y in zip(steps, steps[1:]))
+    # a rule that loses too many good documents in the end keeps its margin
+    kept = quality.propose([("en", "repeats", 20, 900, 0), ("en", "repeats", 40, 100, 0), ("en", "repeats", 70, 0, 9)])["en"]
+    assert kept[0] == {"repeats": 46} and kept[-1] == {"repeats": 40}
+
+
+def test_select():
+    level, later = 0.8 * 0.05, 0.2 * 0.05
+    assert quality.select({"en": [(1000, 0, 50), (1000, 0, 50), (1000, 2, 70), (1000, 30, 900)]}, 1) == {"en": (2, quality.false_rejection_bound(2, 1000, later))}
+    assert quality.select({"en": [(1000, 0, 50)]}, 1) == {"en": (0, quality.false_rejection_bound(0, 1000, level))}
+    assert quality.select({"en": [(100, 0, 50)]}, 1) == {}  # too few to promise anything
     assert quality.select({"en": [(1000, 50, 99), (1000, 0, 50)]}, 1) == {}  # the first failure ends the test
     assert quality.select({"en": [(200, 0, 9)]}, 1) and not quality.select({"en": [(200, 0, 9)]}, 40)  # more strata, stricter levels
+    # Holm: the surest stratum meets the strictest level, and the last one the whole; after a failure none passes
+    assert set(quality.select({"a": [(400, 0, 9)], "b": [(300, 0, 9)], "c": [(170, 0, 9)]}, 3)) == {"a", "b", "c"}
+    assert set(quality.select({"a": [(400, 0, 9)], "b": [(160, 0, 9)], "c": [(155, 0, 9)]}, 3)) == {"a"}
+
+
+@pytest.mark.parametrize("k,n", [(0, 1), (0, 50), (3, 50), (50, 50)])
+def test_chance_is_the_binomial_sum(k, n):
+    want = sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) if k < n else 1.0
+    assert quality.chance(k, n, 0.02) == pytest.approx(want, rel=1e-9)
+
+
+def test_family_error_is_bounded():
+    """All of four strata lose just more than alpha at every step: hardly a labelled set lets any cutoff through."""
+    rng, alpha, wrong = random.Random(5), 0.02, 0
+    for _ in range(1500):
+        tests = {s: [(400, lost := sum(rng.random() < alpha * 1.001 for _ in range(400)), 50), (400, lost, 60)] for s in "abcd"}
+        wrong += bool(quality.select(tests, 4))
+    assert wrong / 1500 <= 0.05
+
+
+BIG = Path("/root/testdata/sf0.1")
+
+
+def plain_bins(text):
+    c = dict(zip(quality.COUNTS, quality.measure(text)))
+    share = lambda x, of: min(math.ceil(100 * x / max(of, 1)), 100)
+    n = c["n_words"]
+    out = {r: share(c[k], n) for r, k in (("symbols", "n_symbols"), ("repeats", "n_repeat_words"), ("capitals", "n_upper"), ("exclaims", "n_bang"), ("one_word", "n_common"))}
+    return out | {"dup_lines": share(c["n_dup_lines"], c["n_lines"]), "long_words": min(4 * c["word_chars"] // n, 100)}
+
+
+@pytest.mark.skipif(not BIG.exists(), reason="needs the larger tables")
+def test_whole_query_at_sf01(spark):
+    """Every row of the query against texts measured and cutoffs counted one by one; and what the cutoffs are worth on the holdout."""
+    import xxhash
+
+    from plumbline.llm.queries import QUERIES
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    label = {}
+    for i, x in spark.read.parquet(f"{BIG}/labels.parquet").select("doc_id", "quality").collect():
+        if x in (0, 1):
+            label[i] = min(x, label.get(i, 1))
+    texts = {}
+    for i, t, lang in docs:
+        if i in label and quality.passes(t, {}):
+            own = texts.setdefault((lang, t), [label[i], None])
+            own[0] = min(own[0], label[i])
+    for (lang, t), own in texts.items():
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        signed = h - (1 << 64) if h >> 63 else h
+        again = xxhash.xxh64_intdigest(signed.to_bytes(8, "little", signed=True), 42)
+        own[1] = (again - (1 << 64) if again >> 63 else again) % quality.DESIGN == 0
+    measured = {k: plain_bins(k[1]) for k in texts}
+    counts = [(lang, r, b, int(texts[lang, t][0] == 1), int(texts[lang, t][0] == 0)) for (lang, t), m in measured.items() if texts[lang, t][1] for r, b in m.items()]
+    family = quality.propose(counts)
+    over = lambda m, cut: any(m[r] > c for r, c in cut.items())
+    held = {s: [(m, texts[k][0]) for k, m in measured.items() if k[0] == s and not texts[k][1]] for s in family}
+    tests = {s: [(sum(q for _, q in held[s]), sum(q == 1 and over(m, cut) for m, q in held[s]), sum(q == 0 and over(m, cut) for m, q in held[s])) for cut in steps] for s, steps in family.items()}
+    chosen = {s: family[s][k] for s, (k, _) in quality.select(tests, len(family)).items()}
+    got = {r["doc_id"]: (r["n_words"], r["kept"]) for r in QUERIES["op3_quality_rules"](spark, str(BIG)).collect()}
+    assert got == {i: (len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), quality.passes(t, chosen.get(lang, {}))) for i, t, lang in docs}
+    assert {"en", "de", "fr", "es"} <= set(chosen)
+    for s in chosen:
+        bad = [over(m, chosen[s]) for m, q in held[s] if q == 0]
+        good = [over(m, chosen[s]) for m, q in held[s] if q == 1]
+        assert sum(bad) >= 0.6 * len(bad) and sum(good) <= quality.ALPHA * len(good)
 
 
 def test_same_verdict_in_both_forms(spark, sf):
