@@ -256,7 +256,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options: int) -> Dat
     ids (null ones too); an empty table gives an empty one; other columns are not read. A text of any length is named in blocks of
     BLOCK starts and cut to pieces; it is one row of the first and last pass. Kept bytes need not be UTF-8, as strings of bytes go.
     """
-    found = repeats(docs, length, **options).withColumnsRenamed({"k": "fk", "l": "fl"})
+    # a table of its own, so that a text that very many rows have can be split over tasks in the join
+    found = materialize(repeats(docs, length, **options), "substr_starts").withColumnsRenamed({"k": "fk", "l": "fl"})
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("k"), F.xxhash64(F.lit("plumbline"), "text").alias("l"))
     rows = keyed.join(found, (F.col("k") == F.col("fk")) & (F.col("l") == F.col("fl")), "left").select("doc_id", "text", "starts")
 
