@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,6 +149,8 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write_bundles(pages: DataFrame, out: str | None = None, least: int = LEAST, frame_bytes: int = FRAME_BYTES) -> tuple[str, DataFrame]:
     """Write a bundle for each partition under ``out``; returns the folder and the index (record_id, file, frame, offset).
 
+    A task that is run again writes a bundle of its own; only bundles that the index names count.
+
     Defined results: null html is an empty payload; a null url is about:blank; url characters that a header can't hold are
     percent-encoded; a null page_id is record urn:page:null, and never the response that others refer to unless all are null;
     rows with one page_id and payload are all responses if it is the largest.
@@ -159,7 +162,8 @@ def write_bundles(pages: DataFrame, out: str | None = None, least: int = LEAST,
     def put(batches):
         from pyspark import TaskContext
 
-        name = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.zst"
+        # a file of the attempt's own: a task that runs twice may see its rows in another order, and the index that is kept must fit its file
+        name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
         bundle, places = None, []
         for b in batches:
             for row in zip(*(c for c in b.columns)):

@@ -61,3 +61,17 @@ def test_oracle(spark, sf, duck, same):
     from plumbline.llm.queries import ORACLES, QUERIES
 
     same(QUERIES["op6_warc"](spark, sf), duck, ORACLES["op6_warc"])
+
+
+def test_a_task_that_runs_twice_has_a_bundle_of_its_own(spark, tmp_path):
+    """Rows of a second attempt may come in another order: the index that is kept still fits the bundles that it names."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.common import materialize
+
+    rows = [(k, f"http://x/{k}", f"page {k} " * (k % 50)) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, index = warc.write_bundles(materialize(pages.repartition(3), "warc_a"), str(tmp_path))
+    warc.write_bundles(materialize(pages.repartition(3, "url").sortWithinPartitions(F.rand(1)), "warc_b"), str(tmp_path))
+    got = warc.read_bundles(spark, index)
+    assert folder == str(tmp_path) and got.count() == 300 and got.select("record_id").distinct().count() == 300
