@@ -154,7 +154,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     """doc_id, n_words, hit spans (word numbers) and item ids (as strings) of each row of ``docs`` (doc_id, text).
 
     ``benchmark``: (item_id, text). Defined results: null or wordless texts have no words, windows or hits; a null item id
-    counts as the empty string; items that share a window are all named; items with equal ids are one.
+    counts as the empty string; items that share a window are all named; items with equal ids are one. Rows are taken one by one, so repeated
+    rows have equal results; empty tables of documents or items give no rows, or no hits; other columns are not read. A text of any length is scanned whole.
     """
     found = scan_blocks(docs.select("doc_id", "text"), benchmark, window, block_bytes)
     return found.select("doc_id", F.col(_SPANS).alias("spans"), F.col(_ITEMS).alias("items"), F.col(_COUNT).alias("n_words"))

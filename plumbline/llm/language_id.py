@@ -266,7 +266,9 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, **options) -> DataF
     """(doc_id, held_out, lang_pred, score) of each row of ``docs`` (doc_id, text, lang).
 
     Defined results: null texts and texts without a letter are `und` with score 0, as is everything if nothing was labelled; rows with a
-    null language or id are not learned from; ties go to the language that is first in order.
+    null language or id are not learned from; ties go to the language that is first in order. Repeated rows have equal results, and
+    count as often as they stand there where labelled rows are drawn; an empty table gives an empty one; other columns than the three are not read. A
+    text of any length is labelled whole, by one task that holds its words' features.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -109,7 +109,8 @@ def automaton(path: str) -> tuple[LongestMatch, dict[bytes, int]]:
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, n_words, n_tokens) of each row of ``docs`` (doc_id, text): a narrow scan, nothing is shuffled.
 
-    Words are runs without ASCII white space; a null or empty text has none of either.
+    Words are runs without ASCII white space; a null or empty text has none of either. Rows are counted one by one, so repeated rows have equal
+    results; an empty table gives an empty one; other columns are not read. A text of any length is counted whole, by one task.
     """
     ship(docs.sparkSession)
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")

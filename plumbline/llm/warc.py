@@ -153,7 +153,8 @@ def write_bundles(pages: DataFrame, out: str | None = None, least: int = LEAST,
 
     Defined results: null html is an empty payload; a null url is about:blank; url characters that a header can't hold are
     percent-encoded; a null page_id is record urn:page:null, and never the response that others refer to unless all are null;
-    rows with one page_id and payload are all responses if it is the largest.
+    rows with one page_id and payload are all responses if it is the largest; an empty table gives an empty index, and no file; other columns are
+    not read. A page of any size is one record, and a frame of its own if it is larger than ``frame_bytes``.
     """
     spark = pages.sparkSession
     ship(spark)

@@ -69,6 +69,32 @@ def test_odd_tables(spark, sf):
     assert lid.identify(docs.limit(0)).count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = [(k, "the of and" if k % 2 else "und der die", "en" if k % 2 else "de") for k in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = plain.selectExpr("1 AS held_out", "2 AS lang_pred", "'x' AS score", "doc_id", "3 AS s_id", "text", "lang", "4 AS s_o", "5 AS o")
+    assert sorted(lid.identify(odd).collect()) == sorted(lid.identify(plain).collect())
+
+
+def test_whole_query_is_one_process(spark, sf):
+    """Every row of the query against a fit and a labelling in this process, text by text."""
+    import xxhash
+
+    from plumbline.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    all_ = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    rows = [(t, lang) for i, t, lang in all_ if not out(i) and lang is not None and t is not None and len(t) <= 8000]  # all of them: fewer than the bound of a language
+    crf = lid.fit(sorted(set(rows), key=lambda r: xxhash.xxh3_64_intdigest(r[0].encode(), 5)))
+    tagger = lid.Tagger(crf)
+    want = {i: tagger.label([t])[0] for i, t, _ in all_}
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in QUERIES["op8_language_id"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == out(i) for i in got)
+    same = [got[i][1] == want[i][0] for i in want]
+    assert np.mean(same) == 1.0 and max(abs(got[i][2] - want[i][1]) for i in want) < 0.05
+
+
 def test_long_runs_count_whole(model):
     crf, held = model
     en, de = ("".join(lid.words_of(" ".join(held.text[held.lang == lang]))) for lang in ("en", "de"))

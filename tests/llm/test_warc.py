@@ -57,6 +57,14 @@ def test_odd_tables(spark):
     assert warc.read_bundles(spark, none).count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = [(k, "u", "x" * 1500 if k % 3 == 0 else f"page {k}") for k in range(30)]
+    plain_pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    odd = plain_pages.selectExpr("1 AS payload", "2 AS d_digest", "'f' AS frame", "page_id", "3 AS first_id", "url", "html", "4 AS n", "5 AS refers_to", "6 AS offset")
+    got = [sorted(map(repr, warc.read_bundles(spark, warc.write_bundles(p)[1]).collect())) for p in (plain_pages, odd)]
+    assert got[0] == got[1] and len(got[0]) == 30
+
+
 def test_oracle(spark, sf, duck, same):
     from plumbline.llm.queries import ORACLES, QUERIES
 
