@@ -507,8 +507,9 @@ def shard_roundtrip(spark, sf_dir):
     shards = store.ShardStore(spark, _scratch(spark, "shards"))
     fp = store.fingerprint({"protocol": "eval-v1"}, {}, horizon=windows.HORIZON)
     written = sorted({tuple(w["shard"].split("__")) for w in shards.save_all(predictions(slim(spark, sf_dir)), fp)})
-    if shards.reuse_all(fp) != {(m, int(s[1:]), d) for m, d, s in written}:
-        raise integrity.ContractError("a fresh shard was rejected")
+    keys = {(m, int(s[1:]), d) for m, d, s in written}
+    if shards.discover() != sorted(keys) or shards.reuse_all(fp) != keys:
+        raise integrity.ContractError("a fresh shard was not found, or rejected")
     rows = None
     for m in sorted({m for m, _, _ in written}):
         part = shards.entries(m, sorted({int(s[1:]) for n, _, s in written if n == m}), sorted({d for n, d, _ in written if n == m}))
@@ -938,3 +939,43 @@ def frozen_weights(spark, sf_dir):
     found = tensors.table(spark, folder)
     got = tensors.against(found, spark.read.parquet(f"{folder}-manifest"))
     return got.join(found.select("name", F.element_at("shape", 1).alias("n_rows")), "name", "left").select("name", "state", "n_rows")
+
+
+@query(f"""WITH {WINDOWS}, t AS (SELECT domain, count(*) AS n, count(DISTINCT var_key) AS v FROM starts GROUP BY domain)
+SELECT 'gate:' || unnest(['files', 'counts', 'totals by domain', 'unique keys', 'reference keys', 'finite windows, positive scale']) AS item, CAST(1 AS BIGINT) AS value
+UNION ALL SELECT 'would run:windows', CAST(2 * sum(n) AS BIGINT) FROM t UNION ALL SELECT 'would run:shards', CAST(2 * count(*) AS BIGINT) FROM t
+UNION ALL SELECT 'exit code:locked', 1 UNION ALL SELECT 'exit code:rejected', 2 UNION ALL SELECT 'exit code:approved dry run', 2
+UNION ALL SELECT 'gap:' || min(domain), CAST(arg_min(n, domain) + 1 AS BIGINT) FROM t""")
+def gate_report(spark, sf_dir):
+    """The gate, the dry run and the approval of an evaluation of all windows, from a config file; a total that is off by one is named by its domain."""
+    import contextlib
+    import hashlib
+    import io
+    import re
+
+    from plumbline.plans import evaluate
+
+    folder = _scratch(spark, "gate")
+    wins(spark, sf_dir).write.parquet(f"{folder}/windows")
+    w = spark.read.parquet(f"{folder}/windows")
+    forecast.last_value(w).select("method", "seed", "domain", "var_key", "sample_id", "pred", "target", "d").write.parquet(f"{folder}/reference")
+    lens = series.lengths(points(spark, sf_dir)).withColumn("w", F.greatest(F.floor((F.col("n") - windows.CONTEXT - windows.HORIZON) / STRIDE) + 1, F.lit(0))).where("w > 0")
+    totals = {r["domain"]: (r["w"], r["v"]) for r in lens.groupBy("domain").agg(F.sum("w").cast("long").alias("w"), F.count(F.lit(1)).alias("v")).collect()}  # a row a domain
+    files.write_bytes(f"{folder}/frozen.txt", b"frozen")
+    expect = {"windows": sum(n for n, _ in totals.values()), "variables": sum(v for _, v in totals.values()), "domains": len(totals), "by_domain": {d: n for d, (n, _) in totals.items()}}
+    config = {"windows": f"{folder}/windows", "reference": f"{folder}/reference", "out": f"{folder}/out", "method": "S", "seeds": [1, 2], "expect": expect, "files": {f"{folder}/frozen.txt": hashlib.sha256(b"frozen").hexdigest()}}
+    raw = json.dumps(config).encode()
+    files.write_bytes(f"{folder}/config.json", raw)
+    call = lambda *a: evaluate.main(["--config", f"{folder}/config.json", *a], spark=spark)
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said), contextlib.redirect_stderr(io.StringIO()):
+        codes = {"locked": call(), "rejected": call("--approve", "0" * 12), "approved dry run": call("--approve", hashlib.sha256(raw).hexdigest()[:12], "--dry-run")}
+        call("--dry-run")
+    plan = json.loads(said.getvalue())
+    rows = [(f"gate:{x['item']}", int(x["ok"])) for x in plan["gate"]] + [(f"would run:{k}", plan["would_run"][k]) for k in ("windows", "shards")] + [(f"exit code:{k}", v) for k, v in codes.items()]
+    first = min(totals)
+    try:
+        evaluate.gate(spark, config | {"expect": expect | {"by_domain": expect["by_domain"] | {first: totals[first][0] + 1}}})
+    except integrity.ContractError as e:
+        rows += [(f"gap:{d}", int(want)) for d, want in re.findall(r"'([^']+)': \[\d+, (\d+)\]", str(e))]
+    return spark.createDataFrame(rows, "item string, value long")
