@@ -41,12 +41,13 @@ def differing(before: DataFrame, after: DataFrame, depth: int) -> tuple[DataFram
             parent = F.array_join(F.slice(F.split("node", "/"), 1, k - 1), "/") if k > 1 else F.lit("")
             a, b = (f.withColumn("up", parent).join(up, "up", "left_semi").drop("up") for f in (a, b))
         both = a.join(b, "node", "full_outer")
-        off = both.where(~F.coalesce(F.col("x") == F.col("y"), F.lit(False)))
+        off = ~F.coalesce(F.col("x") == F.col("y"), F.lit(False))
         kind = F.when(F.col("in_x").isNull(), "added").when(F.col("in_y").isNull(), "removed").otherwise("changed")
-        found = off.select("node", kind.alias("kind"))
-        looked.append(both.count())
+        found = both.where(off).select("node", kind.alias("kind"))
+        n, differ = both.agg(F.count(F.lit(1)), F.count_if(off)).first()
+        looked.append(n)
         up = found.select(F.col("node").alias("up"))
-        if not found.limit(1).count():
+        if not differ:
             break
     return found, looked
 
