@@ -23,7 +23,10 @@ def native(lengths: DataFrame, stride: int, context: int = CONTEXT, horizon: int
     """(domain, var_key, sample_id, split, pos, s). Targets lie wholly in their split; windows that straddle are excluded.
 
     The starts of a split are an arithmetic progression, so a position follows from its start; starts are made in blocks of ``block``.
+    What else ``lengths`` says of a variable goes on to its windows. The planner takes the windows for as many as the variables they
+    are made from, so joins with them are merged by hint: otherwise all windows would be broadcast.
     """
+    more = [c for c in lengths.columns if c not in ("domain", "var_key", "n")]
     span = context + horizon
     n = F.floor((F.col("n") - span) / stride) + 1
     series = lengths.where(F.col("n") >= span).join(boundaries(lengths), "domain").withColumn("starts", n)
@@ -39,7 +42,7 @@ def native(lengths: DataFrame, stride: int, context: int = CONTEXT, horizon: int
         return F.ceil(F.greatest(F.col(boundary) - context, F.lit(0)) / stride)
 
     pos = F.floor(F.col("s") / stride) - F.when(F.col("split") == "val", ahead("t_train")).when(F.col("split") == "test", ahead("t_val")).otherwise(F.lit(0))
-    return rows.select("domain", "var_key", F.concat_ws("__", "var_key", F.col("s").cast("string")).alias("sample_id"), "split", pos.cast("int").alias("pos"), F.col("s").cast("int").alias("s"))
+    return rows.select("domain", "var_key", F.concat_ws("__", "var_key", F.col("s").cast("string")).alias("sample_id"), "split", pos.cast("int").alias("pos"), F.col("s").cast("int").alias("s"), *more).hint("merge")
 
 
 def dense(lengths: DataFrame, context: int = CONTEXT, horizon: int = HORIZON) -> DataFrame:

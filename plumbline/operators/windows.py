@@ -64,7 +64,7 @@ def cut_at(pts: DataFrame, starts: DataFrame, context: int = CONTEXT, horizon: i
     span = context + horizon
     parts = series.chunks(pts, span - 1, max(chunk, span)).select(F.col("var_key").alias("c_key"), "chunk", "values")
     size = max(chunk, span)
-    wanted = starts.withColumn("w_chunk", F.floor(F.col("s") / size).cast("int"))
+    wanted = starts.withColumn("w_chunk", F.floor(F.col("s") / size).cast("int")).hint("merge")  # starts are often made from lengths, and seem as few
     rows = wanted.join(parts, (F.col("var_key") == F.col("c_key")) & (F.col("w_chunk") == F.col("chunk")))
     o = F.col("s") - F.col("chunk") * size
     rows = rows.withColumns({"past": F.slice("values", o + 1, context), "target": F.slice("values", o + context + 1, horizon)})

@@ -613,7 +613,7 @@ def split_manifest_rows(spark, sf_dir):
     """The splits of all variables, written by the executors as a manifest of lines, nested maps of a piece of a variable each, and read back."""
     pts = points(spark, sf_dir)
     folder = _scratch(spark, "manifest")
-    files.write_manifest(splits.native(series.lengths(pts), STRIDE).join(series.fallback_std(pts), "var_key"), folder)
+    files.write_manifest(splits.native(series.lengths(pts).join(series.fallback_std(pts), "var_key"), STRIDE), folder)
     variables_, rows = files.split_manifest(spark, folder, lines=True)
     return rows.join(variables_, "var_key").select("domain", "var_key", "sample_id", "split", *long("pos", "s"), *r6("fallback_std"))
 

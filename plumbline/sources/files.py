@@ -116,9 +116,12 @@ def split_manifest(spark: SparkSession, path: str, lines: bool = False) -> tuple
     each = raw.select(F.explode("m.variables").alias("var_key", "x"))
     variables = each.select("var_key", "x.domain", "x.fallback_std")
     lists = each.select("var_key", F.col("x.sample_start_idx").alias("starts"), F.col("x.first").alias("first"), F.explode("x.native").alias("split", "ids"))
-    rows = lists.select("var_key", "split", "starts", "first", F.posexplode("ids").alias("at", "sample_id"))
-    pos = F.col("at") + F.coalesce(F.try_element_at("first", F.col("split")), F.lit(0))
-    return variables.distinct() if lines else variables, rows.select("var_key", "sample_id", "split", pos.alias("pos"), F.try_element_at("starts", F.col("sample_id")).alias("s"))
+    # a list with the map's own keys in their order needs no search for each id
+    looked = F.transform("ids", lambda k: F.try_element_at("starts", k))
+    s = F.when(F.map_keys("starts") == F.col("ids"), F.map_values("starts")).otherwise(looked)
+    lists = lists.select("var_key", "split", F.coalesce(F.try_element_at("first", F.col("split")), F.lit(0)).alias("first"), F.arrays_zip(F.col("ids").alias("sample_id"), s.alias("s")).alias("x"))
+    rows = lists.select("var_key", "split", "first", F.posexplode("x").alias("at", "x"))
+    return variables.distinct() if lines else variables, rows.select("var_key", "x.sample_id", "split", (F.col("at") + F.col("first")).alias("pos"), "x.s")
 
 
 def write_manifest(rows: DataFrame, folder: str, ids: int = 1 << 12) -> None:
