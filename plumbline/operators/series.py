@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalar import EPS, array_pstd, scale_or_fallback, var_key
 
 CHUNK = 2048
+TASK_ROWS = 1 << 18
 
 
-def points(df: DataFrame, domain: Column, var: Column, value: Column, order: list[str], bucket: Column) -> DataFrame:
+def parts_of(df: DataFrame, task_rows: int = TASK_ROWS) -> int:
+    """Into how many parts to deal so many rows: so that a task has about ``task_rows``, however many there are. Counts them; for tables, whose files know.
+
+    Adaptive execution joins parts by their compressed bytes, of which sorted keys leave next to nothing: 64 MB of them take over a GB to sort.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // task_rows))
+
+
+def points(df: DataFrame, domain: Column, var: Column, value: Column, order: list[str], bucket: Column, parts: int | None = None) -> DataFrame:
     """(domain, var_key, i, v): i is the 0-based position of a row in its series by ``order``.
 
-    ``bucket`` is a function of the first ordering column that never falls as it rises. Rows meet per series and bucket only; the
-    buckets' row counts give each bucket its first position. So a series of any length is numbered by many tasks.
+    ``bucket`` is a function of the first ordering column that never falls as it rises. Rows meet per series and bucket only, in ``parts`` tasks
+    if given (see ``parts_of``); the buckets' row counts give each bucket its first position. So a series of any length is numbered by many tasks.
     """
-    rows = df.select(domain.alias("domain"), var_key(domain, var).alias("var_key"), value.cast("double").alias("v"), bucket.alias("bucket"), *order)
+    at = F.struct(bucket.alias("at"))  # a struct of a null equals itself, so that rows meet their offsets where they lie
+    rows = df.select(domain.alias("domain"), var_key(domain, var).alias("var_key"), value.cast("double").alias("v"), at.alias("bucket"), *order)
     counts = rows.groupBy("var_key", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("var_key").orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("var_key").alias("o_key"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("var_key", "bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    placed = rows.join(offsets, (F.col("var_key") == F.col("o_key")) & F.col("bucket").eqNullSafe(F.col("o_bucket")))
-    return placed.select("domain", "var_key", (F.col("ahead") + F.row_number().over(within) - 1).cast("int").alias("i"), "v")
+    if parts:
+        rows, offsets = rows.repartition(parts, "var_key", "bucket"), offsets.repartition(parts, "o_key", "o_bucket")
+    placed = rows.withColumn("nth", F.row_number().over(within)).join(offsets, (F.col("var_key") == F.col("o_key")) & (F.col("bucket") == F.col("o_bucket")))
+    return placed.select("domain", "var_key", (F.col("ahead") + F.col("nth") - 1).cast("int").alias("i"), "v")
 
 
 def lengths(pts: DataFrame) -> DataFrame:

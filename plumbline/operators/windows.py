@@ -30,18 +30,19 @@ def cut(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int = HORI
     return rows.select("domain", "var_key", F.col("w.s").alias("s"), F.col("w.past").alias("past"), F.col("w.target").alias("target")).select("domain", "var_key", _id(), "s", "past", "target")
 
 
-def summaries(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int = HORIZON, chunk: int = series.CHUNK) -> DataFrame:
+def summaries(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int = HORIZON, chunk: int = series.CHUNK, parts: int | None = None) -> DataFrame:
     """(domain, var_key, sample_id, s, last, mean, std, target) of the windows of ``cut``, without their contexts.
 
     Points are laid in blocks as long as a context. A context is the rest of one block and the beginning of the next; the moments of both come from
     running means and variances, forwards and backwards within a block, and are merged. So a window costs a few values whatever
     its length, and as nothing is subtracted from running sums, a small deviation beside large values stays exact. A context
-    with a null or NaN has NaN for mean and std.
+    with a null or NaN has NaN for mean and std. Chunks are dealt once, to ``parts`` tasks if given (``series.parts_of``).
     """
     span = context + horizon
     size = max(-(-chunk // stride) * stride, -(-span // stride) * stride)
-    rows = series.dealt(pts, span - 1, size).withColumns({"block": F.floor(F.col("i") / context), "x": F.coalesce("v", F.lit(float("nan")))})
-    whole = Window.partitionBy("var_key", "chunk").orderBy("i")
+    rows = series.dealt(pts, span - 1, size)
+    rows = rows.repartition(*[parts] * bool(parts), "var_key", "chunk").withColumns({"block": F.floor(F.col("i") / context), "x": F.coalesce("v", F.lit(float("nan")))})
+    whole = Window.partitionBy("var_key", "chunk").orderBy("block", "i")  # blocks rise with places: the order that ``up`` leaves
     of_block = Window.partitionBy("var_key", "chunk", "block")
     up, down = (of_block.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("i").asc(), F.col("i").desc()))
     rows = rows.withColumns({"rest_m": F.avg("x").over(down), "rest_v": F.var_pop("x").over(down)}).withColumns({"m": F.avg("x").over(up), "var": F.var_pop("x").over(up)})

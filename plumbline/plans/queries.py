@@ -23,10 +23,10 @@ STRIDE, SEEDS = 4, (2021, 2022, 2023)
 PAIRS = [("S", "N0"), ("M", "N0"), ("S", "M")]
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     rows = files.table(spark, sf_dir, "lineitem")
     domain, var = F.concat_ws("_", "l_returnflag", "l_linestatus"), F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))
-    return series.points(rows, domain, var, F.col("l_extendedprice"), ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey"], F.date_trunc("month", F.col("l_shipdate")))
+    return series.points(rows, domain, var, F.col("l_extendedprice"), ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey"], F.col("l_shipdate"), parts or series.parts_of(rows))
 
 
 def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with their scale but without their contexts: last, mean, std and target."""
-    pts = points(spark, sf_dir)
-    return windows.with_scale(windows.summaries(pts, STRIDE), series.fallback_std(pts))
+    parts = series.parts_of(files.table(spark, sf_dir, "lineitem"))
+    pts = points(spark, sf_dir, parts)
+    return windows.with_scale(windows.summaries(pts, STRIDE, parts=parts), series.fallback_std(pts))
 
 
 def predictions(w: DataFrame) -> DataFrame:
