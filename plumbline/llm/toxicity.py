@@ -30,6 +30,7 @@ SHARE = 3600  # training rows a worker
 MAX_CHARS = 1 << 31  # no text is too long to learn from
 BUCKETS = 200_000  # rows of a model: of more buckets, those in the most texts
 MORE_EPOCHS = 2  # over a worker's share, after the first worker's
+TOGETHER = 2  # workers a task, whose weights are summed before they are sent
 CELLS = 10_000
 _UNIT = 1 << 20
 LEAST_EPOCHS, MOST_EPOCHS, STEPS, BATCH = 5, 40, 600, 32
@@ -264,7 +265,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, in_training) -> DataFrame:
     """(o, text, y, lang) of all labelled training rows with a text; o is a hash of text and doc_id."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumnRenamed("doc_id", "l_id")
     rows = docs.where(in_training).where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text", "doc_id").alias("o"), "text", F.col("lang").cast("string").alias("lang"))
-    return materialize(rows.join(known, F.col("doc_id") == F.col("l_id")).select("o", "text", F.col("y").cast("int").alias("y"), "lang"), "tox_rows")
+    return materialize(rows.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select("o", "text", F.col("y").cast("int").alias("y"), "lang"), "tox_rows")
 
 
 def _part(batches) -> list[tuple[int, str, int, str | None]]:
@@ -283,16 +284,15 @@ def learn(rows: DataFrame, cut: float = CUT, share: int = SHARE) -> ToxicityMode
     n = rows.count()
     workers = max(1, -(-n // share))
 
-    def dealt(kept: DataFrame, parts: int) -> DataFrame:
-        return kept.repartition(parts, F.xxhash64("o"))
-
     def first(batches):
         part = _part(batches)
+        if not part:
+            return
         got = fit([r[1:] for r in part], cut=cut) if workers == 1 else fit([r[1:] for r in part], cut=cut, met=sent.value, held=_held(part))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], names=["model"])
 
     if workers == 1:
-        got = dealt(rows, 1).mapInArrow(first, "model binary").collect()  # one row
+        got = rows.repartition(1).mapInArrow(first, "model binary").collect()  # one row
         return pickle.loads(got[0]["model"]) if got else fit([], cut=cut)
 
     def count(batches):
@@ -307,7 +307,7 @@ def learn(rows: DataFrame, cut: float = CUT, share: int = SHARE) -> ToxicityMode
     counted = materialize(counted.where(F.col("c") >= LEAST_TEXTS), "tox_buckets")
     met = np.sort(counted.where(F.col("c") >= head_threshold(counted, BUCKETS)).select("bucket").toArrow().column(0).to_numpy().astype(np.int64))
     sent = spark.sparkContext.broadcast(met)
-    own = dealt(rows.where(F.pmod(F.xxhash64(F.col("o"), F.lit(1)), F.lit(workers)) == 0), 1)
+    own = rows.where(F.pmod(F.xxhash64(F.col("o"), F.lit(1)), F.lit(workers)) == 0).repartition(1)
     got = own.mapInArrow(first, "model binary").collect()  # one row
     model = pickle.loads(got[0]["model"]) if got else ToxicityModel(met)
     if model.bias == -5 and not hasattr(model, "grad2"):  # no row with label 1 in that share
@@ -317,23 +317,32 @@ def learn(rows: DataFrame, cut: float = CUT, share: int = SHARE) -> ToxicityMode
     cols = [f"x{k}" for k in range(DIM)]
 
     def go_on(batches):
-        part = _part(batches)
-        if not part:
-            return
-        m = fit([r[1:] for r in part], cut=cut, met=sent.value, start=pickle.loads(begun.value), held=_held(part))
-        rest = np.concatenate([np.ravel(getattr(m, k)) for k in names])
-        rest = np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)
-        vocab: dict[bytes, int] = {}
-        texts = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words_of(r[1].encode())], dtype=np.int64) for r in part]
-        found, times = buckets_of(texts, [features(w) for w in vocab])
-        at = m.rows(found)
-        ok = at < len(m.buckets)
-        slots = np.concatenate((at[ok], len(m.table) + np.arange(len(rest))))
-        w = np.concatenate((times[ok], np.full(len(rest), len(part)))).astype(np.int64)
-        value = np.round(np.concatenate((m.table[at[ok]], rest)).astype(np.float64) * _UNIT).astype(np.int64) * w[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(w), *[pa.array(np.ascontiguousarray(value[:, k])) for k in range(DIM)]], names=["slot", "n", *cols])
-
-    told = dealt(rows, workers).mapInArrow(go_on, f"slot long, n long, {', '.join(f'{c} long' for c in cols)}")
+        shares: dict[int, list] = {}
+        for r in _part(batches):
+            shares.setdefault(r[4], []).append(r)
+        n = total = None
+        for _, part in sorted(shares.items()):
+            m = fit([r[1:4] for r in part], cut=cut, met=sent.value, start=pickle.loads(begun.value), held=_held(part))
+            rest = np.concatenate([np.ravel(getattr(m, k)) for k in names])
+            rest = np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)
+            vocab: dict[bytes, int] = {}
+            texts = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words_of(r[1].encode())], dtype=np.int64) for r in part]
+            found, times = buckets_of(texts, [features(w) for w in vocab])
+            at = m.rows(found)
+            ok = at < len(m.buckets)
+            slots = np.concatenate((at[ok], len(m.table) + np.arange(len(rest))))
+            w = np.concatenate((times[ok], np.full(len(rest), len(part)))).astype(np.int64)
+            if n is None:
+                n, total = np.zeros(len(m.table) + len(rest), dtype=np.int64), np.zeros((len(m.table) + len(rest), DIM), dtype=np.int64)
+            n[slots] += w
+            total[slots] += np.round(np.concatenate((m.table[at[ok]], rest)).astype(np.float64) * _UNIT).astype(np.int64) * w[:, None]
+        if n is not None:
+            slots = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n[slots]), *[pa.array(total[slots, k]) for k in range(DIM)]], names=["slot", "n", *cols])
+
+    tasks = -(-workers // TOGETHER)
+    shares = rows.select("o", "text", "y", "lang", F.pmod(F.hash(F.xxhash64("o")), F.lit(workers)).alias("worker")).repartitionById(tasks, F.col("worker") % tasks)
+    told = shares.mapInArrow(go_on, f"slot long, n long, {', '.join(f'{c} long' for c in cols)}")
     mean = told.groupBy("slot").agg(*[(F.sum(c) / F.sum("n") / _UNIT).cast("float").alias(c) for c in cols]).toArrow()  # a row a bucket: as long as the model
     slot, value = mean.column(0).to_numpy(), np.stack([mean.column(c).to_numpy() for c in cols], 1).astype(np.float32)
     of_table = slot < len(model.table)

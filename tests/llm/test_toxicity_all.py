@@ -28,3 +28,22 @@ def test_many_workers_learn_from_all_rows(spark):
         p = np.array([r["score"] >= 0.7 for r in got.values() if r["held_out"] == out])
         assert (p == y).mean() > 0.98
     assert {r["threshold"] for r in got.values()} and all(0 < r["threshold"] < 1 for r in got.values())
+
+
+def test_first_model_is_one_row_however_often_rows_are_dealt(spark, monkeypatch):
+    """Counts given with a key may be raised, and joins broadcast or not: one first worker, and the same scores."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs, labels = table(spark)
+    want = {r["doc_id"]: r["score"] for r in tox.score_toxicity(docs, labels, share=120).collect()}
+    plain, collect, most = DataFrame.repartition, DataFrame.collect, []
+
+    def collected(d):
+        got = collect(d)
+        most.append(len(got) if d.columns == ["model"] else 0)
+        return got
+
+    monkeypatch.setattr(DataFrame, "repartition", lambda d, n, *c: plain(d, max(n, 23) if c else n, *c))
+    monkeypatch.setattr(DataFrame, "collect", collected)
+    again = {r["doc_id"]: r["score"] for r in tox.score_toxicity(docs, labels, share=120).collect()}
+    assert max(most) == 1 and again == want
