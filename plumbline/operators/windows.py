@@ -91,9 +91,12 @@ def cut_frames(pts: DataFrame, stride: int, context: int = CONTEXT, horizon: int
 
 
 def with_scale(wins: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Adds d, the scoring scale: the deviation of the context (``past``, or ``std`` of summaries) or else the series' fallback (var_key, fallback_std)."""
+    """Adds d, the scoring scale: the deviation of the context (``past``, or ``std`` of summaries) or else the series' fallback (var_key, fallback_std).
+
+    The fallback is a row a series and goes to the windows, which stay where they lie: by their few keys, all windows of a series would meet in one task.
+    """
     own = window_scale(F.col("past"), F.col("fallback_std")) if "past" in wins.columns else scale_or_fallback(F.col("std"), F.col("fallback_std"))
-    return wins.join(fallback, "var_key", "left").withColumn("d", own).drop("fallback_std")
+    return wins.join(F.broadcast(fallback), "var_key", "left").withColumn("d", own).drop("fallback_std")
 
 
 def long_form(wins: DataFrame) -> DataFrame:

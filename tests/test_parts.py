@@ -20,6 +20,20 @@ def test_tasks_stay_small(spark):
     assert wins.count() == 3 * (20_000 - 107) and largest(wins) < 12_000
 
 
+def test_scale_leaves_windows_where_they_lie(spark):
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    pts = spark.range(60_000).select((F.col("id") % 3).cast("string").alias("domain"), F.concat_ws("__", (F.col("id") % 3).cast("string"), F.lit("v")).alias("var_key"), F.floor(F.col("id") / 3).cast("int").alias("i"), (F.col("id") % 97).cast("double").alias("v"))
+    for c in limits:
+        spark.conf.set(c, "-1")  # as if the fallback came last: a join by key moves the windows
+    try:
+        wins = windows.with_scale(windows.summaries(pts, 1, chunk=256, parts=12), series.fallback_std(pts))
+        rows = wins.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("d") > 0).alias("n")).agg(F.sum("n"), F.max("n")).first()
+        assert rows[0] == 3 * (20_000 - 107) and rows[1] < 12_000
+    finally:
+        for c in limits:
+            spark.conf.unset(c)
+
+
 def test_null_bucket(spark):
     df = spark.createDataFrame([("a", None, 5.0), ("a", 9, 1.0), ("a", 1, 2.0), ("a", None, 5.0)], "s string, t int, x double")
     for parts in (None, 3):
