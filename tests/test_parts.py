@@ -45,3 +45,8 @@ def test_queries_deal_by_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(series, "parts_of", lambda df: 37)
     for q in (queries.window_metrics, queries.comparisons):
         assert q(spark, sf)._jdf.queryExecution().executedPlan().toString().count(", 37), REPARTITION_BY_NUM") >= 3
+
+
+def test_fallbacks_score_windows_once(spark, sf):
+    plan = queries.fallback_summary(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan and plan.count("Relation") >= 3  # the variables' level, from its file
